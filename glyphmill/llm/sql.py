@@ -1,10 +1,10 @@
 """DuckDB SQL with the results of the operators that SQL can express, by plain comparison."""
 
 HAMMING = """
-with codes as (select vec_id, list_transform(embedding, x -> case when x >= 0 then 1 else 0 end) as bits from embeddings where vec_id is not null and len(embedding) > 0),
+with codes as (select vec_id, list_transform(embedding, lambda x: case when x >= 0 then 1 else 0 end) as bits from embeddings where vec_id is not null and len(embedding) > 0),
 pairs as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(list_zip(q.bits, c.bits), z -> abs(z[1] - z[2]))) as integer) as distance
+         cast(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2]))) as integer) as distance
   from codes q, codes c where q.vec_id % 50 = 0
 ),
 ranked as (select query_id, cast(row_number() over (partition by query_id order by distance, vec_id) as integer) as rank, vec_id, distance from pairs)
