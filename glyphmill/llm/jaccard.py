@@ -11,8 +11,8 @@ blocks that can hold a link are worked out:
    linked to the nearest such row: as many pairs as matrix entries, however
    large a group of near copies is;
 4. what is still apart within a column is compared in blocks of bounded size;
-5. pairs are discarded when the sizes, or a 1,024-bit parity sketch, bound the
-   overlap below what the threshold asks for: sets whose sketches differ in d
+5. pairs are discarded when the sizes, or parity sketches of 64 to 4,096 bits by
+   size, bound the overlap below what the threshold asks for: sets whose sketches differ in d
    bits differ in d n-grams or more;
 6. the overlap of the remaining pairs is counted on the whole sets.
 
@@ -36,11 +36,10 @@ from glyphmill.llm.common import append, checkpoint, pick
 
 WORDS = 3
 PERCENT = 90
-SKETCH_BYTES = 128
+LEAST_SKETCH, MOST_SKETCH = 8, 512
 BLOCK_ROWS = 1_000
-SMALL_COLUMN = 64
 MOST_FREQUENT = 1_000_000
-MOST_SENT_IDS = 1_000_000
+MOST_SENT = 1_000_000
 SEEN_OFTEN = 2
 CACHED_WORDS = 200_000
 CHUNK_GRAMS = 4_000_000
@@ -76,11 +75,47 @@ def shingles(text: str | None, known: Hashes, words: int) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Parity of the n-grams on each of 1,024 bits."""
-    bits = np.bincount((grams * P3 >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BYTES * 8) & 1
+    """Parity of the n-grams on each of the sketch's bits, of which there is about one for each n-gram."""
+    size = LEAST_SKETCH
+    while size < MOST_SKETCH and size * 8 < len(grams):
+        size *= 2
+    bits = np.bincount((grams * P3 >> np.uint64(20) & np.uint64(size * 8 - 1)).astype(np.int64), minlength=size * 8) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of many rows; those of a larger size are folded where a pair's sizes differ."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.sketches = sketches
+        self.size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's place in the table of sketches of ``size`` bytes, and the table."""
+        if size not in self.tables:
+            place = np.full(len(self.size), -1)
+            parts, at = [], 0
+            for own in np.unique(self.size[self.size >= size]):
+                rows = np.flatnonzero(self.size == own)
+                bits = np.frombuffer(b"".join(self.sketches[i] for i in rows), np.uint64).reshape(len(rows), own // size, size // 8)
+                parts.append(np.bitwise_xor.reduce(bits, axis=1))
+                place[rows] = np.arange(at, at + len(rows))
+                at += len(rows)
+            self.tables[size] = place, np.concatenate(parts)
+        return self.tables[size]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the rows x and y differ, pair by pair."""
+        out = np.zeros(len(x), np.int64)
+        sizes = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            place, bits = self.table(int(size))
+            out[at] = np.bitwise_count(bits[place[x[at]]] ^ bits[place[y[at]]]).sum(1, dtype=np.int64)
+        return out
+
+
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that many documents hold, and their place among them by rising count.
 
@@ -171,8 +206,8 @@ def apart(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``apart``: the bits in which the two sketches differ."""
     def make() -> Callable[..., list[pa.Array]]:
         def work(a: pa.Array, b: pa.Array) -> list[pa.Array]:
-            left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) for x in (a, b))
-            return [pa.array(np.bitwise_count(left ^ right).sum(1, dtype=np.int64), pa.int64())]
+            known = Sketches(a.to_pylist() + b.to_pylist())
+            return [pa.array(known.apart(np.arange(len(a)), np.arange(len(a)) + len(a)), pa.int64())]
 
         return work
 
@@ -215,73 +250,57 @@ def components(edges: DataFrame) -> DataFrame:
     return known.union(known.select(F.col("root").alias("key"), "root").distinct().join(known, "key", "left_anti"))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a sorted stream of batches; a group may span batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Chunks of a sorted stream that hold whole groups, with the starts of these; a group may span batches."""
     rest = None
     for batch in batches:
         rows = batch.to_pandas()
         rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
         if not len(rows):
             continue
-        new = (rows[columns] != rows[columns].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(new)
-        for i, j in zip(starts[:-1], starts[1:]):
-            if j - i > 1:
-                yield rows.iloc[i:j]
+        starts = np.flatnonzero((rows[columns] != rows[columns].shift()).any(axis=1).to_numpy())
         rest = rows.iloc[starts[-1] :]
-    if rest is not None and len(rest) > 1:
-        yield rest
+        if starts[-1]:
+            yield rows.iloc[: starts[-1]], starts[:-1]
+    if rest is not None and len(rest):
+        yield rest, np.zeros(1, np.int64)
 
 
 def within_blocks(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one column and different components that sizes and sketches allow.
 
-    ``entries`` are (gram, key, comp, n). Columns of more than ``SMALL_COLUMN`` rows are
-    compared by their sketches in place, cut into blocks of ``BLOCK_ROWS`` rows by
-    a hash of the key, a pair of blocks at a time; of smaller ones the pairs of
-    fitting sizes are listed first and their sketches fetched.
+    ``entries`` are (gram, key, comp, n). Columns are cut into blocks of about
+    ``BLOCK_ROWS`` rows by a hash of the key, and compared a pair of blocks at a time.
     """
     columns = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    split = checkpoint(entries.join(columns.select("gram", "size"), "gram"))
-
-    def pairs(x: int, n: np.ndarray, comp: np.ndarray) -> np.ndarray:
-        y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
-        return y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-
-    def told(left: list, right: list) -> Iterator[pa.RecordBatch]:
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.binary()), pa.array(np.maximum(a, b), pa.binary())], names=["a", "b"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for rows in grouped(batches, ["gram", "i", "j"]):
-            bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-            keys, n, own = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+    cut = entries.join(columns.select("gram", F.ceil(F.col("size") / BLOCK_ROWS).alias("blocks")), "gram")
+    cut = cut.join(classes.select("key", "sketch"), "key").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    cut = cut.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp", F.col("n").cast("int").alias("n"), "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["gram", "i", "j"]):
+            sizes = np.diff(np.append(starts, len(rows)))
+            left_of = np.repeat(starts + sizes, sizes) - np.arange(len(rows)) - 1  # rows of the group that follow
+            n, own, across = rows["n"].to_numpy(), rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
             comp = pd.factorize(rows["comp"])[0]
-            across = rows["i"].iat[0] != rows["j"].iat[0]
-            for x in range(len(rows) - 1):
-                y = pairs(x, n, comp)
-                y = y[own[y] != own[x]] if across else y
-                d = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-                y = y[(n[y] + n[x] - d) * (100 + percent) >= (n[y] + n[x]) * 2 * percent]
-                if len(y):
-                    left.append(np.full(len(y), keys[x], object))
-                    right.append(keys[y])
-        yield from told(left, right)
-
-    one = split.where(F.col("size") <= SMALL_COLUMN).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", "key", "comp"))).alias("rows"))
-    one = one.select(F.explode(F.transform("rows", lambda x, i: F.struct(x.alias("x"), F.slice("rows", i + 2, SMALL_COLUMN).alias("after")))).alias("e")).where("size(e.after) > 0")
-    one = one.select("e.x", F.explode(F.filter("e.after", lambda y: (y["comp"] != F.col("e.x.comp")) & (F.col("e.x.n") * 100 >= y["n"] * percent))).alias("y"))
-    one = one.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    one = near(one, classes, percent).select("a", "b")
-
-    cut = split.where(F.col("size") > SMALL_COLUMN).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).join(classes.select("key", "sketch"), "key")
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp", "n", "sketch")
-    two = cut.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(compared, "a binary, b binary")
-    return one.union(two).distinct()
+            sketches = Sketches(rows["sketch"].tolist())
+            left, right = [], []
+            for step in range(1, int(sizes.max())):
+                x = np.flatnonzero(left_of >= step)
+                y = x + step
+                fits = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & ~(across[x] & (own[x] == own[y]))
+                x, y = x[fits], y[fits]
+                fits = (n[x] + n[y] - sketches.apart(x, y)) * (100 + percent) >= (n[x] + n[y]) * 2 * percent
+                left.append(x[fits])
+                right.append(y[fits])
+            if left:
+                keys = rows["key"].to_numpy()
+                a, b = keys[np.concatenate(left)], keys[np.concatenate(right)]
+                pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[c], pa.binary()) for c in ("a", "b")], names=["a", "b"])
+
+    return cut.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -293,11 +312,11 @@ def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(key, grams) of the given keys: the whole sets, worked out again from one document of each.
 
-    The ids go to the documents where there are at most ``MOST_SENT_IDS`` of them;
+    The ids go to the documents where there are at most ``MOST_SENT`` of them;
     beyond that both sides are shuffled.
     """
     ids = checkpoint(keys.distinct().join(classes.select("key", "doc_id"), "key").select("doc_id").distinct())
-    few = ids.count() <= MOST_SENT_IDS
+    few = ids.count() <= MOST_SENT
     wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
@@ -337,18 +356,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         rows.where("n_shingles > 0 and doc_id is not null").groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("head").alias("head"))
     )
-    entries = classes.select("key", "n", F.explode("head").alias("gram"))
-    least = entries.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    entries = checkpoint(entries.join(least.select("gram", "least"), "gram"))
+    # Columns with one row have nothing to multiply: only the others' entries are dealt out.
+    cells = classes.select("key", "n", F.explode("head").alias("gram"))
+    shared = checkpoint(cells.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram"))
+    entries = checkpoint(cells.join(F.broadcast(shared) if shared.count() <= MOST_SENT else shared, "gram").select("gram", "key", "n"))
+    least = entries.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("least"))
 
     # Each row against the least row of its columns: the nearest is verified.
     fitting = F.least("n", "least.n") * 100 >= F.greatest("n", "least.n") * percent
-    stars = entries.where(fitting & (F.col("key") != F.col("least.key"))).select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
+    stars = entries.join(least, "gram").where(fitting & (F.col("key") != F.col("least.key"))).select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
     stars = near(stars, classes, percent).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     forest = resolve(verified(stars, docs, classes, words, percent).select(F.col("b").alias("key"), F.col("a").alias("parent")))
 
     # What is still apart within a column.
-    placed = entries.drop("least").join(forest, "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
+    placed = entries.join(forest, "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
     more = verified(within_blocks(placed, classes, percent), docs, classes, words, percent)
     roots = forest.select(F.col("key").alias("x"), "root")
     for s in ("a", "b"):
