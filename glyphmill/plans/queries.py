@@ -1,6 +1,15 @@
-def queries():
-    return {}
+"""All queries of the library but those of the ``llm`` subpackage, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from glyphmill.plans import text
+
+
+def queries() -> dict[str, text.Query]:
+    """Every query by name; each takes (spark, sf_dir)."""
+    return dict(text.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL with the same columns and rows."""
+    return dict(text.SQL)
