@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import text
+from glyphmill.plans import binary, text
 
 
 def queries() -> dict[str, text.Query]:
     """Every query by name; each takes (spark, sf_dir)."""
-    return dict(text.QUERIES)
+    return text.QUERIES | binary.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same columns and rows."""
-    return dict(text.SQL)
+    return text.SQL | binary.SQL
