@@ -127,7 +127,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_col: str
     columns of the input with these names give way. One pass without a shuffle.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1 if names else 1)
     units = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
