@@ -27,7 +27,7 @@ from glyphmill.llm.common import append, checkpoint, labelled_sample, texts_of
 SAMPLE = 20_000
 MOST_ENTRIES = 4_000
 MOST_PHRASES = 2_000
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 5
 LEAST_WEIGHT = 2.5
 CACHED_WORDS = 200_000
