@@ -6,15 +6,20 @@ blocks that can hold a link are worked out:
 1. documents of one set (exact copies) are one row of the matrix;
 2. two sets that link share one of their first ``n - ceil(t n) + 1`` n-grams in
    any common order, so only those columns are multiplied. N-grams that many
-   documents share come last in the order, so that columns stay short;
-3. a column's rows are first compared with one row, its least, and each row is
+   documents share come last in the order, and a column holds sets of like size
+   only (one near the edge of a size class is in two), so that columns stay short;
+3. columns with the same rows give the same products, so one of them is kept;
+4. a column's rows are first compared with one row, its least, and each row is
    linked to the nearest such row: as many pairs as matrix entries, however
    large a group of near copies is;
-4. what is still apart within a column is compared in blocks of bounded size;
-5. pairs are discarded when the sizes, or parity sketches of 64 to 4,096 bits by
-   size, bound the overlap below what the threshold asks for: sets whose sketches differ in d
-   bits differ in d n-grams or more;
-6. the overlap of the remaining pairs is counted on the whole sets.
+5. what is still apart within a column is compared in blocks of bounded size. At
+   first each block tells a least spanning forest of its pairs: if all of them
+   hold, no other can join more. Only columns of which some pair failed are
+   compared again, at last with all pairs that are left told;
+6. pairs are discarded when the sizes, or parity sketches of 64 to 4,096 bits by
+   size, bound the overlap below what the threshold asks for: sets whose sketches
+   differ in d bits differ in d n-grams or more;
+7. the overlap of the remaining pairs is counted on the whole sets.
 
 Every link between different sets is thus found or known to lie within one
 component. Sets are kept as 64-bit hashes, classes as 128-bit digests.
@@ -22,6 +27,7 @@ component. Sets are kept as 64-bit hashes, classes as 128-bit digests.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +49,8 @@ MOST_SENT = 1_000_000
 SEEN_OFTEN = 2
 CACHED_WORDS = 200_000
 CHUNK_GRAMS = 4_000_000
+NEAREST = 8
+SIZE_CLASSES = [round(1.5**k) for k in range(100)]
 
 P1, P2, P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -116,6 +124,12 @@ class Sketches:
         return out
 
 
+def columns(head: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Columns of a set of ``n`` n-grams: those of ``head`` within each size class that holds sets it may link with and not larger."""
+    low, high = (bisect_right(SIZE_CLASSES, x) for x in (-(-percent * n // 100), n))
+    return np.concatenate([(head ^ np.uint64(k) * P3) * P1 for k in range(low, high + 1)]) if len(head) else head
+
+
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that many documents hold, and their place among them by rising count.
 
@@ -158,7 +172,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key, n_shingles, sketch, head): a set's digest and size, and the n-grams to multiply."""
+    """(doc_id, key, n_shingles, sketch, head): a set's digest and size, and the columns to multiply."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_FREQUENT n-grams
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
@@ -177,7 +191,7 @@ def digests(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray,
                     at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
                     late = np.where(often[at] == grams, place[at], -1)
                     grams = grams[np.argsort(late, kind="stable")]
-                heads.append(grams[:first].view(np.int64))
+                heads.append(columns(grams[:first], len(grams), percent).view(np.int64))
             return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
 
         return work
@@ -250,6 +264,16 @@ def components(edges: DataFrame) -> DataFrame:
     return known.union(known.select(F.col("root").alias("key"), "root").distinct().join(known, "key", "left_anti"))
 
 
+def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, root) of the components ``whole`` after ``links`` (a, b) between their rows; rows without a row are their own root."""
+    roots = whole.select(F.col("key").alias("x"), "root")
+    for s in ("a", "b"):
+        links = links.join(roots.withColumnRenamed("x", s), s, "left").withColumn(s, F.coalesce("root", s)).drop("root")
+    joined = components(links)
+    out = whole.join(joined.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    return checkpoint(out.union(joined.join(whole, "key", "left_anti")))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Chunks of a sorted stream that hold whole groups, with the starts of these; a group may span batches."""
     rest = None
@@ -266,8 +290,42 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Itera
         yield rest, np.zeros(1, np.int64)
 
 
-def within_blocks(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one column and different components that sizes and sketches allow.
+def shared_columns(cells: DataFrame) -> DataFrame:
+    """(gram): columns of two rows or more, one of those with the same rows.
+
+    Rows are summed where they are, so a column of any length is one row for each task.
+    """
+    columns = cells.groupBy("gram").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("rows"))
+    return columns.where("size > 1").groupBy("size", "rows").agg(F.min("gram").alias("gram")).select("gram")
+
+
+def forest(group: np.ndarray, x: np.ndarray, y: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y), the least spanning forest of the components within each group."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(node: tuple[int, int]) -> tuple[int, int]:
+        while (up := root.get(node, node)) != node:
+            root[node] = root.get(up, up)
+            node = root[node]
+        return node
+
+    kept = []
+    for i in np.lexsort((y, x, apart)).tolist():
+        a, b = find((group[i], comp[x[i]])), find((group[i], comp[y[i]]))
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def closest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of the pairs, the ``NEAREST`` of each two components."""
+    sides = pd.DataFrame({"p": np.minimum(comp[x], comp[y]), "q": np.maximum(comp[x], comp[y]), "apart": apart, "x": x, "y": y})
+    return sides.sort_values(["p", "q", "apart", "x", "y"]).groupby(["p", "q"], sort=False).head(NEAREST).index.to_numpy()
+
+
+def within_blocks(entries: DataFrame, classes: DataFrame, percent: int, told: str) -> DataFrame:
+    """Pairs (a, b) of one column and different components that sizes and sketches allow: as ``told``, a forest, the closest, or all.
 
     ``entries`` are (gram, key, comp, n). Columns are cut into blocks of about
     ``BLOCK_ROWS`` rows by a hash of the key, and compared a pair of blocks at a time.
@@ -285,18 +343,26 @@ def within_blocks(entries: DataFrame, classes: DataFrame, percent: int) -> DataF
             n, own, across = rows["n"].to_numpy(), rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
             comp = pd.factorize(rows["comp"])[0]
             sketches = Sketches(rows["sketch"].tolist())
-            left, right = [], []
+            group = np.repeat(np.arange(len(starts)), sizes)
+            left, right, far = [], [], []
             for step in range(1, int(sizes.max())):
                 x = np.flatnonzero(left_of >= step)
                 y = x + step
                 fits = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & ~(across[x] & (own[x] == own[y]))
                 x, y = x[fits], y[fits]
-                fits = (n[x] + n[y] - sketches.apart(x, y)) * (100 + percent) >= (n[x] + n[y]) * 2 * percent
+                d = sketches.apart(x, y)
+                fits = (n[x] + n[y] - d) * (100 + percent) >= (n[x] + n[y]) * 2 * percent
                 left.append(x[fits])
                 right.append(y[fits])
+                far.append(d[fits])
             if left:
                 keys = rows["key"].to_numpy()
-                a, b = keys[np.concatenate(left)], keys[np.concatenate(right)]
+                x, y = np.concatenate(left), np.concatenate(right)
+                if told != "all":
+                    d = np.concatenate(far)
+                    few = forest(group[x], x, y, d, comp) if told == "forest" else closest(x, y, d, comp)
+                    x, y = x[few], y[few]
+                a, b = keys[x], keys[y]
                 pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[c], pa.binary()) for c in ("a", "b")], names=["a", "b"])
 
@@ -334,7 +400,6 @@ def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, words: int) ->
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    pairs = checkpoint(pairs.select("a", "b"))
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), docs, classes, words)
     side = lambda s: sets.select(F.col("key").alias(s), F.col("grams").alias(f"{s}_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -358,7 +423,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
     # Columns with one row have nothing to multiply: only the others' entries are dealt out.
     cells = classes.select("key", "n", F.explode("head").alias("gram"))
-    shared = checkpoint(cells.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram"))
+    shared = checkpoint(shared_columns(cells))
     entries = checkpoint(cells.join(F.broadcast(shared) if shared.count() <= MOST_SENT else shared, "gram").select("gram", "key", "n"))
     least = entries.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("least"))
 
@@ -366,18 +431,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     fitting = F.least("n", "least.n") * 100 >= F.greatest("n", "least.n") * percent
     stars = entries.join(least, "gram").where(fitting & (F.col("key") != F.col("least.key"))).select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
     stars = near(stars, classes, percent).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    forest = resolve(verified(stars, docs, classes, words, percent).select(F.col("b").alias("key"), F.col("a").alias("parent")))
+    whole = resolve(verified(checkpoint(stars.select("a", "b")), docs, classes, words, percent).select(F.col("b").alias("key"), F.col("a").alias("parent")))
 
-    # What is still apart within a column.
-    placed = entries.join(forest, "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
-    more = verified(within_blocks(placed, classes, percent), docs, classes, words, percent)
-    roots = forest.select(F.col("key").alias("x"), "root")
-    for s in ("a", "b"):
-        more = more.join(roots.withColumnRenamed("x", s), s, "left").withColumn(s, F.coalesce("root", s)).drop("root")
-    joined = components(more)
-    whole = forest.join(joined.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
-    whole = whole.union(joined.join(forest, "key", "left_anti"))
-    whole = whole.union(whole.select(F.col("root").alias("key"), "root").distinct().join(whole, "key", "left_anti"))
+    # What is still apart within a column; columns are done with once all pairs that their blocks told have held.
+    for told in ("forest", "closest", "all"):
+        placed = entries.join(whole, "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
+        pairs = checkpoint(within_blocks(placed, classes, percent, told))
+        if pairs.isEmpty():
+            break
+        links = checkpoint(verified(pairs, docs, classes, words, percent))
+        whole = merged(whole, links)
+        failed = pairs.join(links, ["a", "b"], "left_anti")
+        failed = checkpoint(failed.select(F.col("a").alias("key")).union(failed.select("b")).distinct())
+        if failed.isEmpty():
+            break
+        again = entries.join(failed, "key", "left_semi").select("gram").distinct()
+        entries = checkpoint(entries.join(again, "gram", "left_semi"))
 
     ids = classes.select("key", "doc_id").join(whole, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
