@@ -30,7 +30,10 @@ def read_texts(spark: SparkSession, path: str | list[str], limit: int = tx.TEXT_
 
 
 def read_binaries(spark: SparkSession, path: str | list[str], limit: int = BINARY_LIMIT, recursive: bool = True) -> DataFrame:
-    """(path, name, bytes, content, error_code): whole files; those of no byte or beyond ``limit`` are not read."""
+    """(path, name, bytes, content, error_code): whole files; those beyond ``limit`` are not read.
+
+    Spark's file source passes over files of no byte: they have no row.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     listed = _files(spark, path, recursive)
     fits = F.col("length").between(1, limit)
