@@ -139,15 +139,16 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
 
 
 def article(page: str, template: frozenset[int]) -> str:
-    """The article's blocks joined by line ends.
+    """The article's blocks joined by line ends: those in slots of the template that are not set aside.
 
-    Where the page marks an article or main element, its blocks are the text;
-    elsewhere all blocks in slots of the template, without those set aside.
+    Where the page marks an article or main element, only blocks in it count, and
+    they stay even within the template if nothing else is there.
     """
     _, blocks = parse(page)
     open_blocks = [b for b in blocks if not b.aside]
-    inside = [b.text for b in open_blocks if b.main]
-    return "\n".join(inside or [b.text for b in open_blocks if b.token not in template])
+    inside = [b for b in open_blocks if b.main]
+    slots = [b.text for b in inside or open_blocks if b.token not in template]
+    return "\n".join(slots or [b.text for b in inside])
 
 
 def host_of(url: F.Column) -> F.Column:

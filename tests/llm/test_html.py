@@ -31,6 +31,14 @@ def test_templates_are_deduced_without_an_article_element(spark):
     assert got[99] == "Site name\nLatest\nx\ny\nAll rights"  # a host of one page has no template
 
 
+def test_what_all_pages_of_a_host_say_is_no_article(spark):
+    shell = "<html><body><article><h1>{}</h1><p>Subscribe to our letter now.</p><p>{}</p></article></body></html>"
+    rows = [(i, f"http://example.org/{i}", shell.format(f"title {i}", f"body {i}")) for i in range(12)] + [(99, "http://example.org/99", shell.format("", ""))]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert got[3] == "title 3\nbody 3"
+    assert got[99] == "Subscribe to our letter now."
+
+
 def test_the_pages_of_the_test_data(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html.extract(table).collect()
