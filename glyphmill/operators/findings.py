@@ -74,10 +74,9 @@ def ledger(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "
 
 
 def counts(text: Column) -> list[Column]:
-    """bytes, characters, finding_count, sha256 and the four risk counts of a text."""
+    """bytes, characters, finding_count and sha256 of a text."""
     return [
-        F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("characters"), tx.finding_count(text).alias("finding_count"),
-        F.sha2(text.cast("binary"), 256).alias("sha256"), *[tx.severity_count(text, s).alias(f"risk_{s}") for s in rules.SEVERITIES],
+        F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("characters"), tx.finding_count(text).alias("finding_count"), F.sha2(text.cast("binary"), 256).alias("sha256"),
     ]
 
 
@@ -93,11 +92,14 @@ def analyze_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     taken = checked.where("error_code is null")
     one = F.struct(tx.codepoint_name(F.col("codepoint")).alias("codepoint"), "name", "category", "severity", "action", "count", "first_positions")
     found = groups(taken, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("codepoint", one.alias("finding")))), lambda x: x["finding"]).alias("_findings"))
-    joined = checked.join(found, id_col, "left")
-    none = F.array().cast(found.schema["_findings"].dataType)
+    # Counted before the join: a text that nobody asks for afterwards is not shuffled.
     risks = F.struct(*[tx.severity_count(text, s).alias(s) for s in rules.SEVERITIES]).alias("risk_counts")
-    report = F.struct(F.lit(rules.RULE_SET_VERSION).alias("rule_set_version"), *counts(text)[:4], risks, F.coalesce("_findings", none).alias("findings"))
-    return joined.withColumn("analysis", F.when(text.isNotNull() & F.col("error_code").isNull(), report)).drop("_findings")
+    good = text.isNotNull() & F.col("error_code").isNull()
+    joined = checked.withColumn("_facts", F.when(good, F.struct(*counts(text), risks))).join(found, id_col, "left")
+    none = F.array().cast(found.schema["_findings"].dataType)
+    facts = [F.col(f"_facts.{c}") for c in ("bytes", "characters", "finding_count", "sha256", "risk_counts")]
+    report = F.struct(F.lit(rules.RULE_SET_VERSION).alias("rule_set_version"), *facts, F.coalesce("_findings", none).alias("findings"))
+    return joined.withColumn("analysis", F.when(F.col("_facts").isNotNull(), report)).drop("_findings", "_facts")
 
 
 def sanitize_text(docs: DataFrame, mode: str, text_col: str = "text", limit: int = tx.TEXT_LIMIT) -> DataFrame:
