@@ -13,10 +13,17 @@ from glyphmill.llm import bpe, decontam, jaccard, pii, toxicity
 from glyphmill.llm.common import checkpoint, position, read
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id and text, and its other columns under names that clash with nothing."""
+    own = {position(docs, "doc_id"): "doc_id", position(docs, "text"): "text"}
+    return docs.toDF(*[own.get(i, f"_{i}") for i in range(len(docs.columns))])
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
-    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    own = plain(docs)
+    model = toxicity.learn(own, read(spark, sf_dir, "labels"))
+    return toxicity.score(own, model).where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,31 +32,33 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are found again by their set and id, so an id that different texts share
     does no harm; of wholly repeated rows one stays.
     """
-    kept = checkpoint(jaccard.join(docs).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("key", "doc_id").distinct())
-    keyed = jaccard.keyed(docs)
+    own = plain(docs)
+    kept = checkpoint(jaccard.join(own).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("key", "doc_id").distinct())
     same = Window.partitionBy("key", "doc_id").orderBy("key")
-    first = keyed.join(kept, ["key", "doc_id"]).withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
-    blank = docs.where("doc_id is null or not coalesce(text, '') rlike '[^ \\\\t-\\\\r]'")
-    return first.select(*docs.columns).unionByName(blank)
+    first = jaccard.keyed(own).join(kept, ["key", "doc_id"]).withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    blank = own.where("doc_id is null or not coalesce(text, '') rlike '[^ \\\\t-\\\\r]'")
+    return first.select(*own.columns).unionByName(blank).toDF(*docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark has not contaminated."""
-    judged = decontam.judge(decontam.find(docs, read(spark, sf_dir, "benchmark")))
-    return judged.where("not contaminated").select(*docs.columns)
+    own = plain(docs)
+    judged = decontam.judge(decontam.find(own, read(spark, sf_dir, "benchmark")))
+    return judged.where("not contaminated").select(*own.columns).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data masked; ``n_chars`` follows the text."""
-    out = pii.detect(docs, pii.learn(docs), masked="masked_text")
-    columns = [F.col("masked_text").alias("text") if c == "text" else F.length("masked_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    own = plain(docs)
+    out = pii.detect(own, pii.learn(own), masked="masked")
+    counted = f"_{position(docs, 'n_chars')}" if "n_chars" in docs.columns else ""
+    columns = [F.col("masked") if c == "text" else F.length("masked").cast("long") if c == counted else F.col(c) for c in own.columns]
+    return out.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)]).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids and tokens."""
-    columns = docs.columns
-    return bpe.encode(docs).select(columns[position(docs, "doc_id")], "n_tokens", "ids")
+    return bpe.encode(plain(docs)).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

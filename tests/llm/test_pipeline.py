@@ -32,6 +32,15 @@ def test_columns_stay_and_odd_rows_do_no_harm(spark, docs, name):
     assert STAGE[name](spark, docs.limit(0), oracle.SMALL).count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES[:-1])
+def test_clashing_names_keep_their_values(spark, docs, name):
+    names = ["key", "predicted", "Score", "hits", "contaminated", "masked", "spans", "_copy", "n_words", "Text"]
+    own = docs.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names) if n != "Text"], F.lit(9).alias("Text")).limit(60)
+    out = STAGE[name](spark, own, oracle.SMALL)
+    assert out.columns == own.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
 def test_toxic_documents_go_and_others_stay(spark, docs):
     model = toxicity.learn(docs, spark.read.parquet(f"{oracle.SMALL}/labels.parquet"))
     matcher = toxicity.Matcher(model.entries, model.phrases)
