@@ -14,7 +14,7 @@ VENDOR_STATUS = "not-verifiable-without-vendor-detector"
 
 
 def _replace(text: Column, pattern: str, by: str) -> Column:
-    return F.regexp_replace(text, F.lit(pattern), F.lit(by))
+    return F.regexp_replace(text, F.lit(rules.fast(pattern)), F.lit(by))
 
 
 def sanitize(text: Column, mode: str) -> Column:
@@ -39,32 +39,32 @@ def projection(text: Column) -> Column:
 
 def removed_count(text: Column, mode: str) -> Column:
     """Code points that the mode removes."""
-    return F.regexp_count(text, F.lit(rules.acted_on(mode, "remove"))).cast("long")
+    return F.regexp_count(text, F.lit(rules.fast(rules.acted_on(mode, "remove")))).cast("long")
 
 
 def normalized_count(text: Column, mode: str) -> Column:
     """Code points that the mode replaces."""
-    return F.regexp_count(text, F.lit(rules.acted_on(mode, "normalize"))).cast("long")
+    return F.regexp_count(text, F.lit(rules.fast(rules.acted_on(mode, "normalize")))).cast("long")
 
 
 def is_clean(text: Column, mode: str) -> Column:
     """Whether nothing is left for the mode to act on."""
-    return ~text.rlike(rules.acted_on(mode))
+    return ~text.rlike(rules.fast(rules.acted_on(mode)))
 
 
 def finding_count(text: Column) -> Column:
     """Marks of any rule."""
-    return F.regexp_count(text, F.lit(rules.ALL)).cast("long")
+    return F.regexp_count(text, F.lit(rules.ALL_FAST)).cast("long")
 
 
 def severity_count(text: Column, severity: str) -> Column:
     """Marks of the rules of one severity."""
-    return F.regexp_count(text, F.lit(rules.char_class(severity=severity))).cast("long")
+    return F.regexp_count(text, F.lit(rules.fast(rules.char_class(severity=severity)))).cast("long")
 
 
 def required_mode(text: Column) -> Column:
     """The mildest mode that leaves no mark; null if there is none to begin with."""
-    has = lambda *actions: text.rlike(rules.char_class(actions))
+    has = lambda *actions: text.rlike(rules.fast(rules.char_class(actions)))
     return (
         F.when(has("remove_maximum", "normalize_maximum"), "maximum")
         .when(has("remove_strict", "normalize_strict"), "strict")
@@ -74,7 +74,7 @@ def required_mode(text: Column) -> Column:
 
 def verify_status(output: Column, mode: str) -> Column:
     """``CLEAN`` without any mark, ``POLICY ONLY`` if only the mode's own are gone, else ``REVIEW``."""
-    return F.when(~is_clean(output, mode), "REVIEW").when(output.rlike(rules.ALL), "POLICY ONLY").otherwise("CLEAN")
+    return F.when(~is_clean(output, mode), "REVIEW").when(output.rlike(rules.ALL_FAST), "POLICY ONLY").otherwise("CLEAN")
 
 
 def next_mode(output: Column, mode: str) -> Column:

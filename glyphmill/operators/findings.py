@@ -25,10 +25,10 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts without a mark have no rows.
     """
     text = F.col(text_col)
-    hit = docs.where(text.rlike(rules.ALL)).select(F.col(id_col), text.alias("_text"))
+    hit = docs.where(text.rlike(rules.ALL_FAST)).select(F.col(id_col), text.alias("_text"))
     pairs = F.arrays_zip(
-        F.regexp_extract_all("_text", F.lit(rules.ALL), F.lit(0)).alias("mark"),
-        F.transform(F.split("_text", rules.ALL, -1), F.length).alias("gap"),
+        F.regexp_extract_all("_text", F.lit(rules.ALL_FAST), F.lit(0)).alias("mark"),
+        F.transform(F.split("_text", rules.ALL_FAST, -1), F.length).alias("gap"),
     )
     each = hit.select(id_col, F.posexplode(pairs).alias("k", "pair")).where("pair.mark is not null")
     each = each.select(id_col, "k", "pair.mark", "pair.gap", F.ascii("pair.mark").alias("codepoint"))
