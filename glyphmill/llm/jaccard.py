@@ -48,8 +48,9 @@ MOST_FREQUENT = 1_000_000
 MOST_SENT = 1_000_000
 SEEN_OFTEN = 2
 CACHED_WORDS = 200_000
-CHUNK_GRAMS = 4_000_000
+CHUNK_GRAMS = 2_000_000
 NEAREST = 8
+FEW_ROWS = 100_000
 SIZE_CLASSES = [round(1.5**k) for k in range(100)]
 
 P1, P2, P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -228,15 +229,22 @@ def apart(pairs: DataFrame) -> DataFrame:
     return append(pairs, ["a_sketch", "b_sketch"], make, [T.StructField("apart", T.LongType())])
 
 
+def settled(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with its lineage cut, and whether they are at most ``FEW_ROWS``: then in one partition, where joins need no exchange."""
+    rows = checkpoint(rows)
+    few = rows.count() <= FEW_ROWS
+    return (rows.coalesce(1) if few else rows), few
+
+
 def resolve(parents: DataFrame) -> DataFrame:
     """(key, root) of a forest given as (key, parent) with parent < key, by pointer jumping."""
-    forest = checkpoint(parents.select("key", F.col("parent").alias("root")))
+    trees, few = settled(parents.select("key", F.col("parent").alias("root")))
     while True:
-        up = forest.select(F.col("key").alias("root"), F.col("root").alias("top"))
-        moved = checkpoint(forest.join(up, "root", "left").select("key", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
-        forest = moved.drop("moved")
+        up = trees.select(F.col("key").alias("root"), F.col("root").alias("top"))
+        moved = checkpoint(trees.join(up, "root", "left").select("key", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+        trees = moved.drop("moved").coalesce(1) if few else moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return forest
+            return trees
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,10 +253,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every key on its least neighbour, finds the trees' roots by
     pointer jumping and merges the trees; at least half of the keys go each time.
     """
-    edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
+    edges, few = settled(edges.select("a", "b").where("a <> b").distinct())
     known: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
+        both = both.coalesce(1) if few else both
         least = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least"))
         roots = resolve(least.where("least < key").select("key", F.col("least").alias("parent")))
         at = lambda side: roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
@@ -257,8 +266,10 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             step = roots.select(F.col("key").alias("root"), F.col("root").alias("next"))
             known = checkpoint(known.join(step, "root", "left").select("key", F.coalesce("next", "root").alias("root")).union(roots.join(known, "key", "left_anti")))
+            known = known.coalesce(1) if few else known
         edges = edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
         edges = checkpoint(edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct())
+        edges = edges.coalesce(1) if few else edges
     if known is None:
         return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
     return known.union(known.select(F.col("root").alias("key"), "root").distinct().join(known, "key", "left_anti"))
@@ -271,7 +282,7 @@ def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
         links = links.join(roots.withColumnRenamed("x", s), s, "left").withColumn(s, F.coalesce("root", s)).drop("root")
     joined = components(links)
     out = whole.join(joined.select(F.col("key").alias("root"), F.col("root").alias("top")), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
-    return checkpoint(out.union(joined.join(whole, "key", "left_anti")))
+    return settled(out.union(joined.join(whole, "key", "left_anti")))[0]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -436,13 +447,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # What is still apart within a column; columns are done with once all pairs that their blocks told have held.
     for told in ("forest", "closest", "all"):
         placed = entries.join(whole, "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
-        pairs = checkpoint(within_blocks(placed, classes, percent, told))
+        pairs, _ = settled(within_blocks(placed, classes, percent, told))
         if pairs.isEmpty():
             break
-        links = checkpoint(verified(pairs, docs, classes, words, percent))
+        links, _ = settled(verified(pairs, docs, classes, words, percent))
         whole = merged(whole, links)
         failed = pairs.join(links, ["a", "b"], "left_anti")
-        failed = checkpoint(failed.select(F.col("a").alias("key")).union(failed.select("b")).distinct())
+        failed, _ = settled(failed.select(F.col("a").alias("key")).union(failed.select("b")).distinct())
         if failed.isEmpty():
             break
         again = entries.join(failed, "key", "left_semi").select("gram").distinct()
