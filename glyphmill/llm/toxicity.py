@@ -31,6 +31,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 5
 LEAST_WEIGHT = 2.5
 CACHED_WORDS = 200_000
+MOST_COUNTED = 200_000
 
 # Insults that count before anything is learned, and their weight.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -160,7 +161,7 @@ def learn(
             for batch in batches:
                 for text, mark in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
                     seen[mark > 0].update(work(text))
-                if sum(map(len, seen)) > 500_000:
+                if sum(map(len, seen)) > MOST_COUNTED:
                     yield from told(seen)
                     seen = (Counter(), Counter())
             yield from told(seen)
