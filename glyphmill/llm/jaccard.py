@@ -329,10 +329,14 @@ def forest(group: np.ndarray, x: np.ndarray, y: np.ndarray, apart: np.ndarray, c
     return np.array(kept, np.int64)
 
 
-def closest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Of the pairs, the ``NEAREST`` of each two components."""
-    sides = pd.DataFrame({"p": np.minimum(comp[x], comp[y]), "q": np.maximum(comp[x], comp[y]), "apart": apart, "x": x, "y": y})
-    return sides.sort_values(["p", "q", "apart", "x", "y"]).groupby(["p", "q"], sort=False).head(NEAREST).index.to_numpy()
+def closest(group: np.ndarray, x: np.ndarray, y: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y), the ``NEAREST`` of each two components within each group.
+
+    A group with a pair that is not told thus tells others of the same components:
+    one of them holds, or the group's column holds a key of a pair that failed.
+    """
+    sides = pd.DataFrame({"group": group, "p": np.minimum(comp[x], comp[y]), "q": np.maximum(comp[x], comp[y]), "apart": apart, "x": x, "y": y})
+    return sides.sort_values(["group", "p", "q", "apart", "x", "y"]).groupby(["group", "p", "q"], sort=False).head(NEAREST).index.to_numpy()
 
 
 def within_blocks(entries: DataFrame, classes: DataFrame, percent: int, told: str) -> DataFrame:
@@ -371,7 +375,7 @@ def within_blocks(entries: DataFrame, classes: DataFrame, percent: int, told: st
                 x, y = np.concatenate(left), np.concatenate(right)
                 if told != "all":
                     d = np.concatenate(far)
-                    few = forest(group[x], x, y, d, comp) if told == "forest" else closest(x, y, d, comp)
+                    few = forest(group[x], x, y, d, comp) if told == "forest" else closest(group[x], x, y, d, comp)
                     x, y = x[few], y[few]
                 a, b = keys[x], keys[y]
                 pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()

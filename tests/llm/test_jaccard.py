@@ -93,5 +93,21 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     test_chains_where_the_ends_are_far_apart(spark)
 
 
+def test_every_column_tells_its_nearest_pairs(spark):
+    # Two components meet in two columns of one chunk; the nearer pairs stand in the first and must not take all the places.
+    first = [(1, f"{c}{i}", c, 40, 0) for c in "pq" for i in range(3)]
+    rows = [(gram, key.encode(), comp.encode(), n, bits) for gram, key, comp, n, bits in [*first, (2, "p8", "p", 100, 0), (2, "q8", "q", 100, 3), (3, "p9", "p", 100, 0), (3, "q9", "q", 100, 3)]]  # the last column of a stream is a chunk of its own
+    assert len(first) ** 2 // 4 > jaccard.NEAREST
+    entries = spark.createDataFrame([r[:4] for r in rows], "gram long, key binary, comp binary, n long").coalesce(1)
+    classes = spark.createDataFrame([(k, bytes([bits, *bytes(7)])) for _, k, _, _, bits in rows], "key binary, sketch binary")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        told = {(bytes(r.a), bytes(r.b)) for r in jaccard.within_blocks(entries, classes, 90, "closest").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert (b"p8", b"q8") in told and len(told) == jaccard.NEAREST + 2
+
+
 def test_empty_table(spark):
     assert jaccard.join(helpers.empty_docs(spark)).count() == 0
