@@ -29,6 +29,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of the n-gram Jaccard join; documents without words or id stay.
 
+    The stage is that operator as op7_jaccard_join runs it: sets of three words,
+    linked at 90 % of their union. Copies further apart all stay.
+
     Rows are found again by their set and id, so an id that different texts share
     does no harm; of wholly repeated rows one stays.
     """
