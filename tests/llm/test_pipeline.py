@@ -73,6 +73,17 @@ def test_personal_data_is_masked(spark, docs):
     assert out.where("n_chars <> length(text)").count() == 0
 
 
+def test_tokens_that_do_not_decode_to_the_text_are_null(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "plain text"), (2, "naïve 日本 😀"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in STAGE["bpe"](spark, rows, oracle.SMALL).collect()}
+    assert len(got) == 4 and got[3] == got[4] == (0, []) and all(n == len(ids) > 0 for n, ids in (got[1], got[2]))
+    real = bpe.encode
+    wrong = F.when(F.col("doc_id") == 2, F.lit("other")).otherwise(F.col("decoded_sha256"))
+    monkeypatch.setattr(bpe, "encode", lambda docs, **more: real(docs, **more | {"digests": True}).withColumn("decoded_sha256", wrong))
+    bad = {r.doc_id: (r.n_tokens, r.ids) for r in STAGE["bpe"](spark, rows, oracle.SMALL).collect()}
+    assert bad == got | {2: (None, None)}
+
+
 def test_the_whole_run(spark):
     out = corpus_pipeline.run(spark, oracle.SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids"]
