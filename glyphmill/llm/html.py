@@ -26,6 +26,7 @@ from glyphmill.llm.common import append, position
 LEAST_PAGES = 5
 SHARE_OF_PAGES = 0.9
 LEAST_CLASS = 2
+LEAST_OWN = 0.25
 MOST_SENT_TOKENS = 4_000_000
 
 TAG = re.compile(
@@ -142,13 +143,15 @@ def article(page: str, template: frozenset[int]) -> str:
     """The article's blocks joined by line ends: those in slots of the template that are not set aside.
 
     Where the page marks an article or main element, only blocks in it count, and
-    they stay even within the template if nothing else is there.
+    they all stay where the slots hold at most ``LEAST_OWN`` of its characters: then
+    the host's pages are near copies, and their template is the article itself.
     """
     _, blocks = parse(page)
     open_blocks = [b for b in blocks if not b.aside]
     inside = [b for b in open_blocks if b.main]
     slots = [b.text for b in inside or open_blocks if b.token not in template]
-    return "\n".join(slots or [b.text for b in inside])
+    whole = [b.text for b in inside]
+    return "\n".join(whole if inside and sum(map(len, slots)) <= LEAST_OWN * sum(map(len, whole)) else slots)
 
 
 def host_of(url: F.Column) -> F.Column:

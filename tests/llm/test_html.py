@@ -39,6 +39,12 @@ def test_what_all_pages_of_a_host_say_is_no_article(spark):
     assert got[99] == "Subscribe to our letter now."
 
 
+def test_near_copies_on_a_host_keep_their_article(spark):
+    shell = "<html><body><nav><a>Home</a></nav><article><h1>One title</h1><p>" + "First paragraph. " * 9 + "</p><p>" + "Second one. " * 9 + "</p><p>Seen on day {}</p></article></body></html>"
+    got = {r.page_id: r.text for r in html.extract(pages(spark, [(i, f"http://example.org/{i}", shell.format(i)) for i in range(8)])).collect()}
+    assert got[3] == f"One title\n{'First paragraph. ' * 9}".strip() + f"\n{'Second one. ' * 9}".rstrip() + "\nSeen on day 3"
+
+
 def test_the_pages_of_the_test_data(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html.extract(table).collect()
