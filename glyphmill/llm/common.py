@@ -2,34 +2,85 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 2_048
+BATCH_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
+    Where that is unset a temporary one is made, but only if driver and executors
+    are one machine (``local``, as in tests); elsewhere it is an error.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = temporary()
+    return folder
+
+
+@lru_cache(maxsize=1)
+def temporary() -> str:
+    return tempfile.mkdtemp(prefix="glyphmill-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that the session has, or else to ``shared_folder``, with its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Parquet tables in a folder of their own below ``shared_folder``.
+
+    A table that is written and read again has no lineage, and unlike a
+    checkpoint none of the optimizer's constraints on what it was made from, which
+    multiply in long loops. ``clear`` removes the folder once nothing is read from it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again; its columns may have any names."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+        plain.write.parquet(path)
+        return self.spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage is cut, and later readers read the columns they need."""
+    return Tables(df.sparkSession).cut(df)
+
+
 def position(df: DataFrame, name: str) -> int:
     """Index of the column called ``name``: an exact match wins over one that differs in case."""
     exact = [i for i, c in enumerate(df.columns) if c == name]
@@ -49,6 +100,34 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*[F.col(f"_{i}").alias(new) for new, i in at.items()])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES`` and at most ``SLICE_ROWS`` rows, in order; a larger row is a part of its own."""
+    if batch.num_rows <= SLICE_ROWS and (batch.num_rows <= 1 or batch.nbytes <= SLICE_BYTES):
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches cut small on both sides of the pipe, so that long texts do not add up in memory.
+
+    The session's Arrow batches are held to ``BATCH_BYTES`` at most (a smaller setting stays);
+    a task gives memory back when it ends, as its worker goes on to other tasks.
+    """
+    conf = df.sparkSession.conf
+    held = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(part for batch in batches for part in slices(batch))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def append(
     df: DataFrame,
     inputs: Sequence[str],
@@ -58,7 +137,7 @@ def append(
     """``df`` with computed columns behind its own; an own column of the same name gives way.
 
     ``make()`` runs once in each task and returns the function that turns the
-    input columns of an Arrow batch into the arrays of ``fields``. No shuffle.
+    input columns of a slice of an Arrow batch into the arrays of ``fields``. No shuffle.
     """
     taken = {f.name.lower() for f in fields}
     use = [position(df, c) for c in inputs]
@@ -74,7 +153,7 @@ def append(
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     names = [df.columns[i] for i in keep] + [f.name for f in fields]
-    return flat.mapInArrow(run, schema).toDF(*names)
+    return map_batches(flat, run, schema).toDF(*names)
 
 
 def texts_of(array: pa.Array) -> list[str]:

@@ -19,7 +19,7 @@ BITS = 18
 SAMPLE = 12_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 
 

@@ -30,8 +30,8 @@ MOST_PHRASES = 2_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 5
 LEAST_WEIGHT = 2.5
-CACHED_WORDS = 200_000
-MOST_COUNTED = 200_000
+CACHED_WORDS = 50_000
+MOST_COUNTED = 100_000
 
 # Insults that count before anything is learned, and their weight.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
