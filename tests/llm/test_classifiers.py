@@ -38,6 +38,41 @@ def test_odd_texts_have_no_language(spark):
     assert langid.learn(helpers.empty_docs(spark)) == {}
 
 
+def plain_vector(text, dimensions):
+    """The sum over all letters of the product of three rolled letter vectors."""
+    codes = [0, *(int(langid.letters()[ord(c)]) for c in text), 0]
+    vectors = langid.letter_vectors(np.array(codes), dimensions, langid.SEED).astype(int)
+    return sum((np.roll(vectors[i - 1], 2) * np.roll(vectors[i], 1) * vectors[i + 1] for i in range(1, len(codes) - 1) if codes[i]), np.zeros(dimensions))
+
+
+LANGUAGES = [(1, "the cat sat on the mat", "a"), (2, "Die Katze saß auf der Matte", "b"), (3, "кошка сидела на ковре", "c"), (4, "猫はマットの上に座った", "d"), (5, None, "a"), (6, "", "b"), (7, "lost", None), (8, "x1y2 Ünïcode", "a")]
+
+
+@pytest.mark.parametrize("piece, block, cells", [(1 << 18, 4096, 1 << 20), (5, 3, 2)])
+def test_languages_by_plain_cosines(spark, monkeypatch, piece, block, cells):
+    monkeypatch.setattr(langid, "PIECE_CHARS", piece)
+    monkeypatch.setattr(langid, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(langid, "BLOCK_CELLS", cells)
+    docs = spark.createDataFrame(LANGUAGES, "doc_id long, text string, lang string")
+    learned = langid.learn(docs)
+    for name in "abcd":
+        assert np.array_equal(learned[name], sum((plain_vector(t, 512) for _, t, x in LANGUAGES if x == name and t), np.zeros(512)))
+    texts = ["the mat", "der Matte", "на ковре", "の上に", "12 34", "long words " * 30, "mixed слова words"]
+    got = {r.text: r for r in langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), learned).collect()}
+    for t in texts:
+        own = plain_vector(t, 512)
+        cosines = {n: own @ np.array(v) / max(np.linalg.norm(own), 1e-9) / np.linalg.norm(v) for n, v in learned.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[t].lang_pred == ("und" if t == "12 34" else best) and abs(got[t].score - max(0, cosines[best])) < 1e-9
+
+
+def test_equal_cosines_and_too_many_languages(spark):
+    same = spark.createDataFrame([(1, "same words", "z"), (2, "same words", "y"), (3, "same words", "z")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(same, langid.learn(same)).collect()} == {"y"}
+    with pytest.raises(ValueError):
+        langid.learn(same, most=1)
+
+
 @pytest.mark.parametrize("op, label, least", [(queries.op3_toxicity, "toxic", 0.93), (queries.op8_quality, "quality", 0.98)])
 def test_held_out_labels(spark, op, label, least):
     rows = op(spark, DIR).join(table(spark, "labels"), "doc_id").where("held_out").collect()
