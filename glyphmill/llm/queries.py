@@ -60,7 +60,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ def sets(text, n=3):
     return {tuple(found[i : i + n]) for i in range(len(found) - n + 1)}
 
 
-def brute(rows):
-    own = [(i, sets(t)) for i, t in rows]
+def brute(rows, n=3, percent=90):
+    own = [(i, sets(t, n)) for i, t in rows]
     root = list(range(len(own)))
 
     def find(x):
@@ -30,7 +30,7 @@ def brute(rows):
             x, y = own[a][1], own[b][1]
             if x and y and own[a][0] is not None and own[b][0] is not None:
                 both = len(x & y)
-                if 100 * both >= 90 * (len(x) + len(y) - both):
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(own):
@@ -39,25 +39,33 @@ def brute(rows):
     return sorted(((i, len(s), None if i is None else least[find(k)]) for k, (i, s) in enumerate(own)), key=repr)
 
 
-def check(spark, rows, **more):
+def check(spark, rows, words=3, percent=90):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.join(df, **more).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    got = jaccard.join(df, words=words, percent=percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, words, percent)
 
 
-def test_groups_of_copies(spark):
-    rng = random.Random(1)
+def groups_of_copies(seed=1, most=2):
+    rng = random.Random(seed)
     rows, n = [], 0
     for size in (1, 1, 2, 5, 40, 120):
         base = helpers.words(rng, rng.randrange(40, 160))
         for _ in range(size):
             text = list(base)
-            for _ in range(rng.randrange(3)):
+            for _ in range(rng.randrange(most + 1)):
                 text[rng.randrange(len(text))] = rng.choice(helpers.VOCABULARY)
             rows.append((n, " ".join(text).upper() if rng.random() < 0.2 else " ".join(text)))
             n += 1
     rng.shuffle(rows)
-    check(spark, rows)
+    return rows
+
+
+def test_groups_of_copies(spark):
+    check(spark, groups_of_copies())
+
+
+def test_five_words_at_four_fifths(spark):
+    check(spark, groups_of_copies(3, 4), 5, 80)
 
 
 def test_chains_where_the_ends_are_far_apart(spark):
@@ -87,10 +95,44 @@ def test_an_id_that_different_texts_share(spark):
     assert got == {(1, 1), (2, 1), (3, 1)}
 
 
-def test_small_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+def test_the_least_blocks_and_edges_in_many_tasks(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 7, "MOST_SENT": 0, "TASK_EDGES": 3, "NEAREST": 1, "HELD_PAIRS": 5, "FAN": 2, "TOLD_ROWS": 3, "MOST_FREQUENT": 50, "CHUNK_GRAMS": 500}.items():
+        monkeypatch.setattr(jaccard, name, value)
     test_chains_where_the_ends_are_far_apart(spark)
+    near_the_threshold = groups_of_copies(5, 5)[:90]
+    check(spark, near_the_threshold, 3, 90)
+
+
+def test_a_forest_of_pairs_is_least():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(2, 9)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 20))]
+        edges = [(a, b) for a, b in edges if a != b] or [(0, 1)]
+        far = [rng.randrange(5) for _ in edges]
+        root, wanted = list(range(n)), []
+        for i in sorted(range(len(edges)), key=lambda i: (far[i], i)):
+            a, b = (x for x in edges[i])
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[a] = b
+                wanted.append(i)
+        left, right = np.array(edges).T
+        assert jaccard.forest(left, right, np.array(far)).tolist() == sorted(wanted)
+
+
+def test_a_long_text_and_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long, "k", 1), (2, long + " end", "k", 2), (3, None, None, None), (4, "a b", "k", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, COMPONENT_ID int")
+    assert {(r.doc_id, r.component_id) for r in jaccard.join(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    out = jaccard.keyed(df)
+    assert [c.lower() for c in out.columns] == ["doc_id", "text", "component_id", "key"] and len({bytes(r.key) for r in out.collect()}) == 4
 
 
 def test_every_column_tells_its_nearest_pairs(spark):
@@ -103,7 +145,7 @@ def test_every_column_tells_its_nearest_pairs(spark):
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        told = {(bytes(r.a), bytes(r.b)) for r in jaccard.within_blocks(entries, classes, 90, "closest").collect()}
+        told = {(bytes(r.a), bytes(r.b)) for r in jaccard.within_blocks(entries, classes, 90, "closest", jaccard.Tables(spark)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert (b"p8", b"q8") in told and len(told) == jaccard.NEAREST + 2

@@ -54,7 +54,7 @@ def test_toxic_documents_go_and_others_stay(spark, docs):
 
 def test_one_document_of_each_group_stays(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    groups = {i: c for i, _, c in components(rows)}
+    groups = {i: c for i, _, c in components(rows, 5, 80)}
     kept = sorted(r.doc_id for r in STAGE["jaccard_join"](spark, docs, oracle.SMALL).collect())
     assert kept == sorted({*groups.values()}) and len(kept) < len(rows)
 
