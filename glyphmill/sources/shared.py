@@ -1,15 +1,23 @@
-"""Cutting lineage in the folder that a cluster's machines share."""
+"""The checkpoint folder that driver and executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir``; only where that is unset a temporary folder is made."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """``df`` written to the folder named in ``spark.checkpoint.dir``, with its lineage cut.
+
+    Where that is unset a temporary folder is made, but only if driver and
+    executors are one machine, as in tests; elsewhere it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
     return df.checkpoint(eager=True)
