@@ -19,6 +19,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(rb"\s+([^\s<>=\"'/]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')", re.S)
+ANGLE = re.compile(rb"[<>]")
 SAFE_MARK = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for r in rules.RULES if r.action == "remove_safe" for a, b in r.ranges) + "]")
 # Attributes that tell who worked on a document and when; how references that leave it begin.
 PRIVATE_ATTRIBUTES = frozenset((b"author", b"initials", b"date", b"creator", b"lastModifiedBy"))
@@ -38,8 +39,8 @@ def local(name: bytes) -> bytes:
     return name.rpartition(b":")[2]
 
 
-def tokens(data: bytes) -> Iterator[Token]:
-    """The tokens of an XML file; breaks off where it is malformed."""
+def tokens(data: bytes, declarations: bool = False) -> Iterator[Token]:
+    """The tokens of an XML file; breaks off where it is malformed, or has a document type and ``declarations`` are not allowed."""
     at, opened = 0, []
     while at < len(data):
         m = TOKEN.match(data, at)
@@ -63,9 +64,18 @@ def tokens(data: bytes) -> Iterator[Token]:
             if not empty:
                 opened.append(m["start"])
             yield Token("empty" if empty else "start", m.start(), at, m["start"], found)
-        elif kind in ("text", "cdata", "comment", "doctype"):
+        elif kind == "doctype":
+            need(declarations, "document type declaration")
+            level = 1
+            for bracket in ANGLE.finditer(data, at):
+                level += 1 if bracket[0] == b"<" else -1
+                if not level:
+                    break
+            need(not level, "malformed markup")
+            at = bracket.end()
+            yield Token("other", m.start(), at, b"", [])
+        elif kind in ("text", "cdata", "comment"):
             yield Token(kind, m.start(kind), at if kind != "cdata" else m.end(kind), b"", [])
-            need(kind != "doctype", "document type declaration")
         else:
             yield Token("other", m.start(), at, b"", [])
     need(not opened, "unclosed element")
@@ -136,5 +146,5 @@ def svg_pieces(data: bytes) -> list[Piece]:
 
 def private_pieces(data: bytes, attributes: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of private attributes (if asked for) and of marks in a document's XML part."""
-    found = [(a[0], a[1]) for t in tokens(data) for a in t.attributes if local(a[2]) in PRIVATE_ATTRIBUTES]
+    found = [(a[0], a[1]) for t in tokens(data, declarations=True) for a in t.attributes if local(a[2]) in PRIVATE_ATTRIBUTES]
     return (found if attributes else []), safe_marks(data, 0, len(data))

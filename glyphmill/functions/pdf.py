@@ -17,6 +17,8 @@ from glyphmill.functions.containers import Broken, need
 MOST_OBJECTS = 100_000
 MOST_STREAM_BYTES = 128 * 1024 * 1024
 MOST_DEPTH = 100
+MOST_DIGITS = 18
+MOST_NUMBER = 8_388_607  # the format's own limit on object numbers
 
 BLANK = rb"\x00\t\n\x0c\r "
 SKIP = re.compile(rb"(?:[%s]|%%[^\r\n]*)*" % BLANK)
@@ -37,6 +39,12 @@ class Entry(NamedTuple):
     value: object  # a name as str, a number as int, a reference as (number, generation), a dictionary, or None
 
 
+def number(digits: bytes) -> int:
+    """An object's number."""
+    need(len(digits) <= MOST_DIGITS and int(digits) <= MOST_NUMBER, "object number")
+    return int(digits)
+
+
 def after_blank(data: bytes, at: int) -> int:
     return SKIP.match(data, at).end()
 
@@ -70,10 +78,10 @@ def value(data: bytes, at: int, depth: int = 0) -> tuple[object, int]:
             at = after_blank(data, at)
         return items, at + 1
     if m := REFERENCE.match(data, at):
-        return (int(m[1]), int(m[2])), m.end()
+        return (number(m[1]), int(m[2])), m.end()
     m = WORD.match(data, at)
     need(m, "malformed object")
-    return (int(m[0]) if m[0].isdigit() else None), m.end()
+    return (int(m[0]) if m[0].isdigit() and len(m[0]) <= MOST_DIGITS else None), m.end()
 
 
 def dictionary(data: bytes, at: int, depth: int = 0) -> tuple[dict[str, Entry], int]:
@@ -90,6 +98,9 @@ def dictionary(data: bytes, at: int, depth: int = 0) -> tuple[dict[str, Entry],
     return out, at + 2
 
 
+DIRECT = (0, 0)  # stands for what a trailer holds itself; no object has this number
+
+
 class Thing(NamedTuple):
     """An object: number, generation, its own bytes, its top-level dictionary (spans within ``raw``) and the stream's data."""
 
@@ -117,6 +128,8 @@ def read(data: bytes) -> tuple[list[Thing], dict[str, tuple[int, int]]]:
     def note(entries: dict[str, Entry]) -> None:
         need("Encrypt" not in entries, "encrypted")
         trailer.update({k: e.value for k, e in entries.items() if isinstance(e.value, tuple)})
+        if "Info" in entries and isinstance(entries["Info"].value, dict):
+            trailer["Info"] = DIRECT
 
     while True:
         m = HEAD.search(data, at)
@@ -147,7 +160,7 @@ def read(data: bytes) -> tuple[list[Thing], dict[str, tuple[int, int]]]:
             need(data.startswith(b"endstream", after_blank(data, at)), "stream end")
             total += size
             need(total <= MOST_STREAM_BYTES, "stream bytes")
-        thing = Thing(int(m[1]), int(m[2]), data[start:end], entries, stream)
+        thing = Thing(number(m[1]), int(m[2]), data[start:end], entries, stream)
         kind = thing.name("Type")
         if kind == "XRef":
             note(entries)
@@ -168,9 +181,11 @@ def read(data: bytes) -> tuple[list[Thing], dict[str, tuple[int, int]]]:
 
 def unpacked(thing: Thing) -> list[Thing]:
     """The objects in an object stream."""
-    need(thing.name("Filter") in (None, "FlateDecode") and thing.stream is not None, "object stream filter")
+    filters = thing.entries["Filter"].value if "Filter" in thing.entries else []
+    filters = filters if isinstance(filters, list) else [filters]
+    need(filters in ([], ["FlateDecode"]) and thing.stream is not None, "object stream filter")
     body = thing.stream
-    if thing.name("Filter"):
+    if filters:
         opened = zlib.decompressobj()
         try:
             body = opened.decompress(body, MOST_STREAM_BYTES)
@@ -180,13 +195,13 @@ def unpacked(thing: Thing) -> list[Thing]:
     first, count = (thing.entries[k].value if k in thing.entries else None for k in ("First", "N"))
     need(isinstance(first, int) and isinstance(count, int) and count <= MOST_OBJECTS, "object stream header")
     numbers = body[:first].split()
-    need(len(numbers) >= 2 * count and all(x.isdigit() for x in numbers[: 2 * count]), "object stream header")
+    need(len(numbers) >= 2 * count and all(x.isdigit() and len(x) <= MOST_DIGITS for x in numbers[: 2 * count]), "object stream header")
     out = []
     for i in range(count):
         start = after_blank(body, first + int(numbers[2 * i + 1]))
         item, end = value(body, start)
         entries = {k: Entry(e.start - start, e.stop - start, e.value) for k, e in item.items()} if isinstance(item, dict) else {}
-        out.append(Thing(int(numbers[2 * i]), 0, body[start:end], entries, None))
+        out.append(Thing(number(numbers[2 * i]), 0, body[start:end], entries, None))
     return out
 
 
@@ -199,8 +214,14 @@ def written(objects: list[tuple[int, int, bytes, bytes | None]], root: tuple[int
         places[number] = (size, generation)
         out.append(b"%d %d obj\n%s\n" % (number, generation, raw) + (b"stream\n%s\nendstream\n" % stream if stream is not None else b"") + b"endobj\n")
         size += len(out[-1])
+    # A section of the table for each run of numbers, so that it grows with the objects and not with their numbers.
+    runs: list[list[int]] = [[0]]
+    for n in sorted(places):
+        if n > 0:
+            runs[-1].append(n) if n == runs[-1][-1] + 1 else runs.append([n])
+    out.append(b"xref\n")
+    for run in runs:
+        out.append(b"%d %d\n" % (run[0], len(run)) + b"".join(b"%010d %05d n\r\n" % places[n] if n else b"0000000000 65535 f\r\n" for n in run))
     most = max(places, default=0)
-    rows = [b"0000000000 65535 f\r\n"] + [b"%010d %05d n\r\n" % places[n] if n in places else b"0000000000 65535 f\r\n" for n in range(1, most + 1)]
-    out.append(b"xref\n0 %d\n%s" % (most + 1, b"".join(rows)))
     out.append(b"trailer\n<< /Size %d /Root %d %d R >>\nstartxref\n%d\n%%%%EOF\n" % (most + 1, *root, size))
     return b"".join(out)

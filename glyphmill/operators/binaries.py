@@ -84,6 +84,8 @@ def pieces(fmt: str, data: bytes) -> list[dict]:
         return [head | {"error": str(e)}]
     except RecursionError:
         return [head | {"error": "nested too deeply"}]
+    except (ValueError, OverflowError, LookupError):
+        return [head | {"error": "malformed file"}]
 
 
 def described(thing: pdf.Thing) -> dict:
@@ -298,7 +300,7 @@ def sanitize_binary(files: DataFrame, id_col: str = "path", content_col: str = "
                 try:
                     out, error = rebuild(fmt, data, plan), None
                     containers.need(1 <= len(out) <= BINARY_LIMIT, "output size")
-                except Broken as e:
+                except (Broken, RecursionError, ValueError, OverflowError, LookupError) as e:
                     out, error = None, str(e)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), pa.array([out], pa.binary()), pa.array([error], pa.string())], names=["id", "output", "failed"])
 

@@ -37,7 +37,7 @@ def test_kept_bytes(cleaned):
     assert webp[20] & 0x0C == 0 and int.from_bytes(webp[4:8], "little") + 8 == len(webp)
     assert b"<path" in bytes(cleaned["svg-2"].output) and b"c2pa" not in bytes(cleaned["svg-2"].output)
     pdf_out = bytes(cleaned["pdf-2"].output)
-    assert b"Keep this note" in pdf_out and b"Alice" not in pdf_out and b"alert" not in pdf_out
+    assert b"Stays visible" in pdf_out and b"Renske" not in pdf_out and b"print" not in pdf_out
     assert b"private" not in bytes(cleaned["pdf-1"].output) and b"manifest" not in bytes(cleaned["pdf-1"].output)
 
 
@@ -83,13 +83,56 @@ def test_mutations_are_rows_or_clean_reads():
             binaries.pieces(fmt, data[:at] + data[at : at + 8] * 2 + data[at:])
 
 
+def test_numbers_beyond_all_bounds_are_errors():
+    head, tail = b"%PDF-1.5\n1 0 obj << /Type /Catalog ", b">> endobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF"
+    assert error_of("pdf", head + b"/N " + b"9" * 5000 + tail) is None
+    assert error_of("pdf", head + tail.replace(b"trailer", b"9999999999 0 obj null endobj\ntrailer")) == "object number"
+    assert error_of("pdf", head + b"/P 9999999999 0 R" + tail) == "object number"
+    packed = b"8 0 obj << /Type /ObjStm /N 1 /First 5010 /Length 5020 >>\nstream\n" + b"7" * 5000 + b" 0" + b" " * 8 + b"null      \nendstream endobj\ntrailer"
+    assert error_of("pdf", head + tail.replace(b"trailer", packed)) is not None
+
+
+def test_the_table_grows_with_the_objects():
+    out = pdf.written([(1, 0, b"<< /Type /Catalog >>", None), (3_000_000, 0, b"null", None), (3_000_001, 0, b"null", None)], (1, 0))
+    assert len(out) < 500 and b"0 2\n" in out and b"3000000 2\n" in out and b"/Size 3000002" in out
+    assert [t.number for t in pdf.read(out)[0]] == [1, 3_000_000, 3_000_001]
+
+
+def test_digits_changed_in_a_document(spark):
+    rng = random.Random(6)
+    data = synthetic.build("pdf", 2, TEXT)
+    places = [i for i, c in enumerate(data) if chr(c).isdigit()]
+    for _ in range(400):
+        changed = bytearray(data)
+        at = rng.choice(places)
+        changed[at : at + 1] = rng.choice([b"9" * rng.randrange(1, 5000), b"0", b"-1", b"2147483648"])
+        rows = binaries.pieces("pdf", bytes(changed))
+        if not rows[0]["error"]:
+            assert all(abs(r["seq"]) < 2**31 for r in rows)
+
+
+def test_a_direct_info_dictionary_counts_and_goes(spark):
+    data = synthetic.build("pdf", 0, TEXT).replace(b"trailer\n<<", b"trailer\n<< /Info << /Author (Renske) >>")
+    row = binaries.sanitize_binary(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).first()
+    assert row.before.metadata_count == 1 and row.verification_passed and b"Renske" not in bytes(row.output)
+
+
+def test_office_parts_may_declare_a_document_type(spark):
+    part = b'<?xml version="1.0"?><!DOCTYPE d [<!ENTITY e "x">]><w:d xmlns:w="urn:w" w:author="Renske"/>'
+    docx = synthetic.container([("[Content_Types].xml", b"<t/>", zipfile.ZIP_DEFLATED), ("word/document.xml", part, zipfile.ZIP_DEFLATED)])
+    row = binaries.sanitize_binary(spark.createDataFrame([("a", bytearray(docx))], "path string, content binary")).first()
+    assert row.error_code is None and row.before.metadata_count >= 1 and row.verification_passed
+    assert error_of("svg", b"<!DOCTYPE svg><svg/>") == "document type declaration"
+
+
 def test_object_streams_and_updates():
     import zlib
 
-    inner = b"<< /Type /Annot /T (Alice) >>"
+    inner = b"<< /Type /Annot /T (Renske) >>"
     body = zlib.compress(b"5 0 " + inner)
     data = b"%%PDF-1.5\n1 0 obj << /Type /Catalog >> endobj\n2 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(body), body)
     data += b"3 0 obj (old) endobj\n3 0 obj << /AA 1 >> endobj\n4 0 obj << /Type /XRef /Root 1 0 R /Length 0 >>\nstream\n\nendstream endobj\nstartxref\n0\n%%EOF"
+    assert pdf.read(data.replace(b"/Filter /FlateDecode", b"/Filter [/FlateDecode]"))[0] == pdf.read(data)[0]
     things, trailer = pdf.read(data)
     assert [t.number for t in things] == [1, 3, 5] and trailer["Root"] == (1, 0)
     out = binaries.rebuild("pdf", data, [(5, 0, "strip-notes"), (3, 0, "strip-actions")])
