@@ -18,21 +18,21 @@ SQL: dict[str, str] = {}
 KNOWN = (
     "known(format, mime, variant, n, c2pa) as (values "
     + ", ".join(f"('{f}', '{binaries.MIMES[f]}', {v}, {n}, {str(c).lower()})" for f, rows in synthetic.COUNTS.items() for v, (n, c) in enumerate(rows))
-    + f"), made as (select doc_id, ([{', '.join(repr(f) for f in synthetic.FORMATS)}])[doc_id % 9 + 1] as form, doc_id // 9 % 4 as variant from documents)"
+    + ")"
 )
+MIXED = f"{KNOWN}, made as (select doc_id, ([{', '.join(repr(f) for f in synthetic.FORMATS)}])[doc_id % 9 + 1] as form, doc_id // 9 % 4 as variant from documents)"
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.files(read(spark, sf_dir, "documents"))
+def files(spark: SparkSession, sf_dir: str, form: str | None = None) -> DataFrame:
+    return synthetic.files(read(spark, sf_dir, "documents"), form)
 
 
 def _one(form: str) -> None:
-    """One format's files: report before, cleaning, report after."""
+    """One format's files, made from every document: report before, cleaning, report after."""
     name = f"q_{form}_sanitize"
 
     def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = files(spark, sf_dir).where(F.col("doc_id") % 9 == synthetic.FORMATS.index(form))
-        out = binaries.sanitize_binary(own, "doc_id")
+        out = binaries.sanitize_binary(files(spark, sf_dir, form), "doc_id")
         return out.select(
             "doc_id", "before.format", "before.metadata_count", "before.c2pa_detected", "removed_items", "verification_passed",
             F.col("after.metadata_count").alias("after_count"), "error_code",
@@ -40,8 +40,8 @@ def _one(form: str) -> None:
 
     QUERIES[name] = clean
     SQL[name] = (
-        f"with {KNOWN} select doc_id, format, cast(n as bigint) as metadata_count, c2pa as c2pa_detected, cast(n as bigint) as removed_items, case when n is not null then true end as verification_passed,"
-        f" case when n is not null then cast(0 as bigint) end as after_count, case when n is null then 'broken-file' end as error_code from made left join known on form = format and made.variant = known.variant where form = '{form}'"
+        f"with {KNOWN}, made as (select doc_id, '{form}' as form, doc_id // 9 % 4 as variant from documents) select doc_id, format, cast(n as bigint) as metadata_count, c2pa as c2pa_detected, cast(n as bigint) as removed_items, case when n is not null then true end as verification_passed,"
+        f" case when n is not null then cast(0 as bigint) end as after_count, case when n is null then 'broken-file' end as error_code from made left join known on form = format and made.variant = known.variant"
     )
 
 
@@ -55,7 +55,7 @@ def q_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q_detect_format"] = (
-    f"with {KNOWN} select doc_id, format, mime, cast(n as bigint) as metadata_count, c2pa as c2pa_detected, case when n is null then 'broken-file' end as error_code"
+    f"with {MIXED} select doc_id, format, mime, cast(n as bigint) as metadata_count, c2pa as c2pa_detected, case when n is null then 'broken-file' end as error_code"
     " from made left join known on form = format and made.variant = known.variant"
 )
 
@@ -68,7 +68,7 @@ def q_file_batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q_file_batch_status"] = (
-    f"with {KNOWN} select format, case when n is null then 'error' else 'verified' end as status, count(*) as files, cast(sum(n) as bigint) as removed, cast(0 as bigint) as left_over"
+    f"with {MIXED} select format, case when n is null then 'error' else 'verified' end as status, count(*) as files, cast(sum(n) as bigint) as removed, cast(0 as bigint) as left_over"
     " from made left join known on form = format and made.variant = known.variant group by 1, 2"
 )
 QUERIES |= {f.__name__: f for f in (q_detect_format, q_file_batch_status)}
