@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import public_tokenizers
@@ -26,7 +27,7 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
 MOST_CHARS_A_TOKEN = 2.0
 LEAST_CHARS = 20
-PART = 4_096
+LONG_RUN = 1_024
 
 Span = tuple[str, int, int]
 
@@ -44,13 +45,8 @@ RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-IDENTIFIER = re.compile(r"[/_=+-]*(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,6})(?:[/_=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,6}))*[/_=+-]*")
-
-
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> tiktoken.Encoding:
-    """The vocabulary as a tiktoken encoding; once for each worker process."""
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(path).ranks, special_tokens={})
+JOINTS = re.compile(r"[/_=+-]+")
+IDENTIFIER_PART = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,6}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -61,17 +57,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def hard_to_shorten(run: str, encoding: tiktoken.Encoding) -> bool:
+@dataclass(frozen=True)
+class Vocabulary:
+    """One rank file for tiktoken, and for the exact encoder of linear time that long runs take."""
+
+    encoding: tiktoken.Encoding
+    linear: bpe.Encoder
+
+    def size(self, run: str) -> int:
+        """Number of a run's tokens, the same either way."""
+        return len(self.encoding.encode_ordinary(run) if len(run) <= LONG_RUN else self.linear.encode(run))
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary; once for each worker process."""
+    linear = bpe.load(path)
+    return Vocabulary(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=linear.ranks, special_tokens={}), linear)
+
+
+def identifier(run: str) -> bool:
+    """Whether a run is words and short numbers joined by signs."""
+    return all(IDENTIFIER_PART.fullmatch(part) for part in JOINTS.split(run) if part)
+
+
+def hard_to_shorten(run: str, known: Vocabulary) -> bool:
     """Whether a run has letters and digits, is no digest or identifier, and few characters for each token."""
     if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
         return False
-    if (len(run) in DIGEST_LENGTHS and ALL_HEX.fullmatch(run)) or UUID.fullmatch(run) or (len(run) <= 512 and IDENTIFIER.fullmatch(run)):
+    if (len(run) in DIGEST_LENGTHS and ALL_HEX.fullmatch(run)) or UUID.fullmatch(run) or identifier(run):
         return False
-    tokens = sum(len(encoding.encode_ordinary(run[i : i + PART])) for i in range(0, len(run), PART))
-    return len(run) < MOST_CHARS_A_TOKEN * tokens
+    return len(run) < MOST_CHARS_A_TOKEN * known.size(run)
 
 
-def spans(text: str, encoding: tiktoken.Encoding) -> tuple[list[Span], list[Span]]:
+def spans(text: str, known: Vocabulary) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans in order."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
@@ -80,7 +99,7 @@ def spans(text: str, encoding: tiktoken.Encoding) -> tuple[list[Span], list[Span
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
         touched = at < len(taken) and taken[at][0] < m.end()
-        if not touched and hard_to_shorten(m[0], encoding):
+        if not touched and hard_to_shorten(m[0], known):
             more.append(("random", m.start(), m.end()))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -91,29 +110,33 @@ def told(found: Sequence[Span]) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` and ``spans``.
+    """``docs`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_spans`` and ``n_added``.
 
-    Counts and the digest are of the base spans; ``spans`` has all. Offsets are
+    The counts by kind and the digest are of the base spans; ``spans`` and ``n_spans``
+    are of all, ``n_added`` of those that the tokens added. Offsets are
     code points, end exclusive. A null text counts as empty: no spans. Columns of
     the input with these names give way. One pass without a shuffle; ``path`` is
     a rank file present on every machine.
     """
     path = path or public_tokenizers.path(bpe.VOCABULARY)
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
+    fields += [T.StructField(n, T.LongType()) for n in ("n_spans", "n_added")]
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        encoding = vocabulary(path)
+        known = vocabulary(path)
 
         def work(column: pa.Array) -> list[pa.Array]:
             counts: list[list[int]] = [[] for _ in BASE]
-            digests, all_spans = [], []
+            digests, all_spans, sizes, added = [], [], [], []
             for item in column:
-                base, found = spans(item.as_py() or "", encoding)
+                base, found = spans(item.as_py() or "", known)
                 for k, c in zip(BASE, counts):
                     c.append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(told(base).encode()).hexdigest())
                 all_spans.append(told(found))
-            return [pa.array(c, pa.int64()) for c in counts] + [pa.array(x, pa.string()) for x in (digests, all_spans)]
+                sizes.append(len(found))
+                added.append(len(found) - len(base))
+            return [pa.array(c, pa.int64()) for c in counts] + [pa.array(x, pa.string()) for x in (digests, all_spans)] + [pa.array(x, pa.int64()) for x in (sizes, added)]
 
         return work
 
