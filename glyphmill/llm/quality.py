@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from glyphmill.llm.common import append, labelled_sample, texts_of
 
 BITS = 18
+OWN_SLOTS = 2
 SAMPLE = 12_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
@@ -38,18 +39,16 @@ class Hashes(dict):
 def grams(text: str, known: Hashes, bits: int) -> np.ndarray:
     """Distinct hashed words, word pairs and repeats of a lower-cased text.
 
-    Slot 0 is the bias; slot 1 stands for a word that repeats the one before it.
+    Slot 0 is the bias; slot 1 stands for words that often repeat the one before. No n-gram has these.
     """
     words = WORD(text.lower())
     one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     two = one[:-1] * np.uint64(0x9E3779B1) + one[1:]
     two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     slots = np.concatenate([one * np.uint64(0x9E3779B97F4A7C15), two]) >> np.uint64(64 - bits)
-    used = np.zeros(1 << bits, bool)
-    used[slots] = True
-    used[0] = True
-    used[1] = bool(len(one) > 1 and (one[1:] == one[:-1]).mean() > 0.1)
-    return np.flatnonzero(used).astype(np.int32)
+    slots = np.unique(slots % np.uint64((1 << bits) - OWN_SLOTS)) + np.uint64(OWN_SLOTS)
+    repeats = len(one) > 1 and (one[1:] == one[:-1]).mean() > 0.1
+    return np.concatenate([np.arange(2 if repeats else 1, dtype=np.uint64), slots]).astype(np.int32)
 
 
 def train(
