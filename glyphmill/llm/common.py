@@ -173,9 +173,12 @@ def labelled_sample(
 
     ``most`` is the bound of the sample: it makes the id list small enough to
     broadcast at every size of the corpus. Rows are taken in the order of a
-    hash of the id; a document labelled more than once takes its largest label.
+    hash of the id; a document labelled more than once takes its largest label,
+    and of documents that share an id the one of least text counts, so that the
+    bound holds for rows too.
     """
     marks = pick(labels, doc_id=id_col, label=label).where(F.col("label").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marks), "doc_id")
+    found = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marks), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -25,8 +25,6 @@ from pyspark.sql import types as T
 from glyphmill.llm.common import append, checkpoint, labelled_sample, texts_of
 
 SAMPLE = 20_000
-MOST_ENTRIES = 4_000
-MOST_PHRASES = 2_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 5
 LEAST_WEIGHT = 2.5
@@ -107,7 +105,16 @@ class Matcher:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if hidden:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in hidden)}
+            # Both in order of their places: a start is hidden if a phrase that begins at it or before ends behind it.
+            hidden.sort()
+            shown, at, reach = {}, 0, -1
+            for s in sorted(best):
+                while at < len(hidden) and hidden[at][0] <= s:
+                    reach = max(reach, hidden[at][1])
+                    at += 1
+                if s >= reach:
+                    shown[s] = best[s]
+            best = shown
         return sum(best.values()) / math.sqrt(len(words)) if best else 0.0
 
 
@@ -139,13 +146,16 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
 
 def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", most_entries: int | None = None, most_phrases: int | None = None,
 ) -> Model:
     """Lexicon, exception phrases and fit from at most ``sample`` labelled rows outside the held-out fold.
 
     Two thirds of the sample weigh the entries, one third fits the chances.
-    At most ``MOST_ENTRIES`` entries, ``MOST_PHRASES`` phrases and ``sample``
-    numbers come to the driver. Without labels: the seed words and a fixed curve.
+    All entries and phrases with the support and weight asked for count, unless
+    ``most_entries`` or ``most_phrases`` bound them; ``sample`` bounds both, since each
+    entry needs ``LEAST_SUPPORT`` of its texts and each phrase three. Documents
+    that repeat an id count once, with their least text. Without labels: the seed
+    words and a fixed curve.
     """
     rows = checkpoint(
         labelled_sample(docs, labels, label, folds, held, sample, id_col, text_col)
@@ -181,8 +191,8 @@ def learn(
     found = (
         learning.mapInArrow(count(words), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .where(F.col("bad") >= LEAST_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-        .orderBy((F.col("weight") * F.col("bad")).desc(), "entry").limit(MOST_ENTRIES)
     )
+    found = found if most_entries is None else found.orderBy((F.col("weight") * F.col("bad")).desc(), "entry").limit(most_entries)
     entries = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS} | {r.entry: float(r.weight) for r in found.collect()}
     whole = {e.strip() for e in entries if e.endswith(" ")}
 
@@ -197,8 +207,9 @@ def learn(
 
     neutral = (
         learning.mapInArrow(count(pairs), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        .where("good >= 3 and bad = 0").orderBy(F.col("good").desc(), "entry").limit(MOST_PHRASES)
+        .where("good >= 3 and bad = 0")
     )
+    neutral = neutral if most_phrases is None else neutral.orderBy(F.col("good").desc(), "entry").limit(most_phrases)
     phrases = sorted({*SEED_PHRASES, *(r.entry for r in neutral.collect())})
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
