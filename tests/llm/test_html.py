@@ -1,8 +1,16 @@
 """Main text of pages: templates, markup by hand, odd pages."""
 
+import random
 import re
+import time
+from collections import Counter, defaultdict
+
+import helpers
+import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import html
+from glyphmill.llm.common import Tables
 
 
 def pages(spark, rows):
@@ -59,6 +67,78 @@ def test_the_pages_of_the_test_data(spark):
             assert " ".join(first[1].split()) in r.text
 
 
+def made_pages(seed=3):
+    """Hosts whose pages have neither article or main elements nor telling names, with lists that repeat and boxes that vary."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join(helpers.words(rng, n))
+    rows = []
+    for host in range(4):
+        for k in range(9):
+            items = "".join(f"<tr><td><i>{say(2)}</i></td><td>Label {host}</td></tr>" for _ in range(rng.randrange(1, 5)))
+            body = "".join(f"<p>{say(rng.randrange(20, 40))}</p>" for _ in range(rng.randrange(1, 4)))
+            text = f"<html><body><div class='x1'><span>Site {host}</span></div><table><tr><td>Fixed {host}</td></tr>{items}</table><section class='q post-{k}'><h2>{say(4)}</h2>{body}<p>Written here.</p></section><div class='x2'>{say(3)}</div></body></html>"
+            rows.append((len(rows), f"https://h{host}.example.org/{k}", text))
+    return rows
+
+
+def test_classes_against_whole_occurrence_vectors(spark):
+    rows = made_pages()
+    vectors = defaultdict(lambda: defaultdict(dict))
+    for i, url, page in rows:
+        for token, n in Counter(html.parse(page).tokens).items():
+            vectors[url.split("/")[2]][token][i] = n
+    wanted = set()
+    for host, tokens in vectors.items():
+        pages_of = {i for i, url, _ in rows if url.split("/")[2] == host}
+        groups = defaultdict(set)
+        for token, counts in tokens.items():
+            if len(counts) >= 0.9 * len(pages_of):
+                groups[tuple(sorted(counts.items()))].add(token)
+        groups = {v: g for v, g in groups.items() if len(g) >= 2}
+        frame = max((v for v in groups if max(n for _, n in v) == 1), key=lambda v: len(groups[v]))
+        wanted |= {(host, t, v == frame) for v, g in groups.items() for t in g}
+    hosted = pages(spark, rows).select(html.host_of(F.col("url")).alias("host"), "html")
+    assert {(r.host, r.token, r.frame) for r in html.classes(hosted, Tables(spark)).collect()} == wanted
+
+
+def test_articles_without_telling_elements_or_names(spark):
+    rows = made_pages()
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    for i, _, page in rows:
+        section = re.search("<section.*</section>", page)[0]
+        wanted = [t for t in re.findall(r"<(?:h2|p)>(.*?)</(?:h2|p)>", section) if t != "Written here."]
+        assert got[i].split("\n") == wanted
+        assert html.article(page, None).split("\n") != wanted
+
+
+def test_many_hosts_by_the_joined_way(spark, monkeypatch):
+    rows = made_pages(5)
+    once = sorted(tuple(r) for r in html.extract(pages(spark, rows)).collect())
+    for name in ("MOST_SENT_TOKENS", "MOST_SENT_HOSTS", "HELD_ROWS"):
+        monkeypatch.setattr(html, name, 0)
+    monkeypatch.setattr(html, "KEPT_HOSTS", 1)
+    assert sorted(tuple(r) for r in html.extract(pages(spark, rows)).collect()) == once
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>a&#" + "9" * 5000 + ";b&#x" + "0" * 5000 + "41;c&#0000065;&#xffffffffff;", "a\ufffdbAcA\ufffd"),
+    ("<p>one<b " + 'x="' * 3, "one"), ("<p>one</p><a href=\"x>two</a>\n<p>three", "one\ntwo\nthree"), ("one <b", "one"), ("a < b <i>d", "a < b d"),
+    ("<div>" * 3000 + "deep" + "</p>" * 3000, "deep"), ("<b>" * 3000 + "<li>x" * 100, "\n".join("x" * 100)),
+])
+def test_markup_that_is_odd_or_long(page, text):
+    assert html.article(page, None) == text
+
+
+def test_time_is_linear():
+    for unit in ("<a ", "<div></x>", "<b><li>", "<a '> \"<", "<title>", "<!--", "<p class =", "&#9"):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            html.article("<div>" * 2000 + unit * n, None)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 1
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a/", None), (2, None, ""), (3, "odd url", "plain text"), (3, "odd url", "plain text"), (4, "http://a/", "<p>" + "long " * 100_000), (5, "http://a/", "<<<>>> & &bogus; <b"), (None, "http://a/", "<p>x</p>"), (6, "", "<div " * 2000), (7, "", "<a title='>'>q</a>")]
     out = html.extract(spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, N_chars int"))
