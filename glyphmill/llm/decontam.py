@@ -2,9 +2,11 @@
 
 The symbols are words, the patterns windows of benchmark words. A shift table on
 blocks of two words says how far the search may jump: blocks of no pattern let
-it skip almost a whole window. Where the shift is nought, the block's hash picks
-the patterns that end in it, and comparing the words decides. Windows of one
-length share a table; so the few short items do not shorten the jumps of others.
+it skip almost a whole window. Where the shift is nought, the hashes of the
+window's last and first block pick the patterns that end there, and comparing the
+words decides. Windows of one length share a table; so the few short items do not
+shorten the jumps of others. Tables are made once, as arrays that hold hashes and
+places of words, and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -12,16 +14,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import append, pick
+from glyphmill.llm.common import Tables, append, pick
 
 WINDOW = 13
 BLOCK_CHARS = 8_000_000
+CACHED_WORDS = 50_000
+MOST_SHIFT_BITS = 24
+PRIME, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 
@@ -30,61 +38,101 @@ def words_of(text: str | None) -> list[str]:
     return WORD((text or "").encode().lower().decode())  # lower() of bytes knows A to Z only
 
 
+class Hashes(dict):
+    """64-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        out = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def mixed(a: int, b: int) -> int:
+    """Hash of two hashes."""
+    return (a * 31 + b) * PRIME & MASK
+
+
+def all_mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``mixed``, element by element."""
+    return (a * np.uint64(31) + b) * np.uint64(PRIME)
+
+
 class Table:
-    """Shift and suffix tables for patterns of one length."""
+    """Shift and bucket tables for the patterns of one length, which begin at ``starts`` in the list of hashed words."""
 
-    def __init__(self, length: int, patterns: dict[tuple[str, ...], set[int]]) -> None:
-        self.length, self.patterns = length, patterns
-        self.block = min(2, length)
+    def __init__(self, length: int, starts: np.ndarray, hashes: np.ndarray) -> None:
+        self.length, self.block = length, min(2, length)
         self.jump = length - self.block + 1
-        self.shift: dict[object, int] = {}
-        self.buckets: dict[object, list[tuple[str, ...]]] = {}
-        for p in patterns:
-            for end in range(self.block, length + 1):
-                key = p[end - 1] if self.block == 1 else (p[end - 2], p[end - 1])
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.buckets.setdefault(key, []).append(p)
-
-    def search(self, words: list[str]) -> list[tuple[int, tuple[str, ...]]]:
-        """(start, pattern) of every occurrence."""
+        block = lambda at: all_mixed(hashes[at - 1] if self.block == 2 else np.zeros(len(at), np.uint64), hashes[at])
+        bits = min(MOST_SHIFT_BITS, max(8, (8 * len(starts)).bit_length()))
+        self.down = 64 - bits
+        shift = np.full(1 << bits, self.jump, np.uint8)
+        for end in range(self.block, length + 1):
+            np.minimum.at(shift, (block(starts + end - 1) >> np.uint64(self.down)).astype(np.int64), length - end)
+        self.shift = shift.tobytes()
+        keys = all_mixed(block(starts + length - 1), block(starts + self.block - 1))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = keys[order], starts[order]
+
+
+class Searcher:
+    """The words of a block of benchmark items, and the tables of their windows."""
+
+    def __init__(self, items: list[tuple[int | str, str]], window: int) -> None:
+        hashes, sizes, self.items, of = Hashes(), [], [], []
+        starts: dict[int, list[int]] = {}
+        words: list[str] = []
+        for item, text in items:
+            own = words_of(text)
+            length = min(window, len(own))
+            if own:
+                starts.setdefault(length, []).extend(range(len(words), len(words) + len(own) - length + 1))
+                words += own
+                of += [len(self.items)] * len(own)
+                self.items.append(item)
+        encoded = [w.encode() for w in words]
+        self.text = b" ".join(encoded)
+        self.places = np.fromiter(accumulate((len(w) + 1 for w in encoded), initial=0), np.int64, len(words) + 1)
+        self.of = np.array(of, np.int32)
+        own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        self.tables = [Table(n, np.array(at, np.int64), own) for n, at in sorted(starts.items())]
+
+    def occurrences(self, table: Table, words: list[str], hashes: Hashes) -> list[tuple[int, int]]:
+        """(start, place of the pattern's first word) of every occurrence of a table's patterns."""
         found = []
-        length, jump, shift = self.length, self.jump, self.shift
+        length, shift, down, pairs = table.length, table.shift, table.down, table.block == 2
         at, last = length - 1, len(words)
-        single = self.block == 1
         while at < last:
-            key = words[at] if single else (words[at - 1], words[at])
-            step = shift.get(key, jump)
+            end = mixed(hashes[words[at - 1]] if pairs else 0, hashes[words[at]])
+            step = shift[end >> down]
             if step:
                 at += step
                 continue
             start = at - length + 1
-            for p in self.buckets[key]:
-                if p[0] == words[start] and list(p) == words[start : at + 1]:
-                    found.append((start, p))
+            begin = mixed(hashes[words[start]], hashes[words[start + 1]]) if pairs else end
+            key = np.uint64(mixed(end, begin))
+            bucket = int(np.searchsorted(table.keys, key))
+            own = None
+            while bucket < len(table.keys) and table.keys[bucket] == key:
+                place = int(table.starts[bucket])
+                own = own or " ".join(words[start : at + 1]).encode()
+                if self.text[self.places[place] : self.places[place + length] - 1] == own:
+                    found.append((start, place))
+                bucket += 1
             at += 1
         return found
 
-
-class Searcher:
-    """Tables for the windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
-        patterns: dict[int, dict[tuple[str, ...], set[int]]] = {}
-        for item, text in items:
-            words = tuple(words_of(text))
-            length = min(window, len(words))
-            for i in range(len(words) - length + 1) if words else ():
-                patterns.setdefault(length, {}).setdefault(words[i : i + length], set()).add(item)
-        self.tables = [Table(n, p) for n, p in sorted(patterns.items())]
-
-    def search(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
+    def search(self, words: list[str], hashes: Hashes) -> tuple[list[tuple[int, int]], set]:
         """Merged (start, end) runs of hit words, end exclusive, and the items hit."""
         runs: list[tuple[int, int]] = []
-        items: set[int] = set()
+        items = set()
         for table in self.tables:
-            for start, p in table.search(words):
+            for start, place in self.occurrences(table, words, hashes):
                 runs.append((start, start + table.length))
-                items |= table.patterns[p]
+                items.add(self.items[self.of[place]])
         return merged(runs), items
 
 
@@ -98,43 +146,64 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hits", T.ArrayType(T.IntegerType())),
-    T.StructField("items", T.ArrayType(T.LongType())),
-]
-
-
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (starts and ends of hit word runs, flat) and ``items`` (ids, ascending).
 
     The benchmark goes to the tasks in blocks of about ``block_chars``
-    characters, so what is sent at once is bounded at any number of items; one
-    block is the rule, and each further block is one more pass in the same
-    stage. No shuffle. Null or empty texts have no words; an item without words
-    has no window, and rows of one item id count as one item. Items without an
-    id are left out. Columns of the input with these names give way.
+    characters, one at a time: beyond the first, what was found is written to the
+    shared folder before the next block is sent, so that driver and workers hold one
+    block at any number of items. A text longer than a block is cut into pieces that
+    overlap by a window. No shuffle. Null or empty texts have no words; an item
+    without words has no window, and rows of one item id count as one item. Items
+    without an id are left out; ids that are no whole numbers are told as strings.
+    Columns of the input with these names give way.
     """
     tests = pick(benchmark, item=item_col, text=item_text).where("item is not null and text is not null")
+    whole = isinstance(tests.schema["item"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    kind = T.LongType() if whole else T.StringType()
+    tests = tests.select(F.col("item").cast(kind).alias("item"), "text")
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = size // block_chars + 1
+    if blocks > 1:
+        tests = cut_texts(tests, window, block_chars)
+    tables = Tables(docs.sparkSession)
     out = docs
     for k in range(blocks):
-        items = [(int(r.item), r.text) for r in tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
-        out = scan(out, text_col, docs.sparkSession.sparkContext.broadcast(items), window, first=not k)
+        own = [(r.item, r.text) for r in tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(own, window))
+        out = scan(tables.cut(out) if k else out, text_col, searcher, kind, first=not k)
     return out
 
 
-def scan(docs: DataFrame, text_col: str, items: object, window: int, first: bool) -> DataFrame:
+def cut_texts(tests: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """Items whose texts are longer than a block in pieces of about that length; each goes on for a window's words more than its own."""
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        def cut(text: str) -> list[str]:
+            if len(text) <= block_chars:
+                return [text]
+            words = words_of(text)
+            step = max(window, len(words) * block_chars // len(text))
+            return [" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)]
+
+        return lambda column: [pa.array([cut(t.as_py()) for t in column], pa.list_(pa.string()))]
+
+    pieces = append(tests, ["text"], make, [T.StructField("pieces", T.ArrayType(T.StringType()))])
+    return pieces.select("item", F.explode("pieces").alias("text"))
+
+
+def scan(docs: DataFrame, text_col: str, searcher: object, kind: T.DataType, first: bool) -> DataFrame:
     """One pass for one block of items; later passes add to what the earlier ones found."""
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(kind))]
+    ids_type = pa.list_(pa.int64() if isinstance(kind, T.LongType) else pa.string())
+
     def make() -> Callable[..., list[pa.Array]]:
-        searcher = Searcher(items.value, window)
+        hashes, known = Hashes(), searcher.value
 
         def work(column: pa.Array, hits: pa.Array | None = None, found: pa.Array | None = None) -> list[pa.Array]:
             counts, all_hits, all_items = [], [], []
             for i, text in enumerate(column):
                 words = words_of(text.as_py())
-                runs, ids = searcher.search(words)
+                runs, ids = known.search(words, hashes)
                 if hits is not None:
                     flat = hits[i].as_py()
                     runs = merged(runs + list(zip(flat[::2], flat[1::2])))
@@ -142,11 +211,11 @@ def scan(docs: DataFrame, text_col: str, items: object, window: int, first: bool
                 counts.append(len(words))
                 all_hits.append([x for run in runs for x in run])
                 all_items.append(sorted(ids))
-            return [pa.array(counts, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.int64()))]
+            return [pa.array(counts, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, ids_type)]
 
         return work
 
-    return append(docs, [text_col] if first else [text_col, "hits", "items"], make, FOUND)
+    return append(docs, [text_col] if first else [text_col, "hits", "items"], make, fields)
 
 
 def judge(found: DataFrame) -> DataFrame:

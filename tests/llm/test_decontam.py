@@ -1,7 +1,9 @@
 """Wu-Manber decontamination against windows compared one by one."""
 
+import pickle
 import random
 import re
+import time
 
 import helpers
 import pytest
@@ -53,6 +55,26 @@ def test_against_brute_force(spark, block_chars):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()), key=repr) == brute(docs, items)
 
 
+def test_ids_that_are_strings_and_shifts_that_collide(spark, monkeypatch):
+    docs, items = rows(9)
+    named = [(None if k is None else f"item-{k}", t) for k, t in items]
+    monkeypatch.setattr(decontam, "MOST_SHIFT_BITS", 3)
+    got = decontam.judge(decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(named, "item_id string, text string"), block_chars=400))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()), key=repr) == brute(docs, named)
+
+
+def test_what_is_sent_is_a_small_multiple_of_the_items():
+    rng = random.Random(2)
+    items = [(k, " ".join(helpers.words(rng, 2000, 2000))) for k in range(40)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontam.Searcher(items, 13))) < 12 * size
+    same_ends = [(k, " ".join([*helpers.words(rng, 11, 2000), "the", "end"])) for k in range(3000)]  # one very common last pair
+    searcher = decontam.Searcher(same_ends, 13)
+    start = time.process_time()
+    runs, found_items = searcher.search(found(" ".join(t for _, t in same_ends)), decontam.Hashes())
+    assert len(found_items) == 3000 and time.process_time() - start < 5
+
+
 def test_odd_rows_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "same text here"), (2, "word " * 13)], "item_id long, text string")
     out = decontam.judge(decontam.find(helpers.odd_docs(spark), items))
