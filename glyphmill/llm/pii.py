@@ -1,7 +1,8 @@
 """Personal data: labelers that vote, their reliabilities by EM, and a span classifier.
 
 Base spans (email, ip, card, phone in their strict forms) always count. Further
-candidates in looser forms are judged: labelers for form, checksum, gazetteer,
+candidates, in looser forms or in the strict form without passing its check
+(numbers of a card's length, four-part numbers, digits behind a plus), are judged: labelers for form, checksum, gazetteer,
 context and surroundings each vote for, against or not at all. Expectation-
 maximisation over the counts of vote patterns estimates how reliable each labeler
 is for each kind; its posteriors are the targets of a logistic classifier over the
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import append, pick, texts_of
+from glyphmill.llm.common import append, map_batches, pick, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "id", "name")
@@ -37,7 +39,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "phone": re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -47,10 +49,22 @@ LOOSE = {
 # What a text must hold for the loose form to occur at all.
 HINT = {"email": ("(", "["), "ip": (":",), "phone": ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"), "id": ("-",), "iban": ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"), "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")}
 
-# Gazetteers.
-TOP_DOMAINS = frozenset("com org net edu gov io co uk de fr es it nl be ch at eu us ca au jp cn in br info biz".split())
-GIVEN_NAMES = frozenset("james john robert mary linda david susan anna peter paul maria jean pierre marie hans karl ana luis carlos jose laura emma".split())
-IBAN_LANDS = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+# Gazetteers, of which other ones can be given: top-level domains, given names and lands that have account numbers of this form.
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int io info biz name pro museum app dev cloud online site shop store blog tech ai co me tv cc"
+    " ad ae al am ar at au az ba bd be bg bh bo br by ca ch cl cn cr cu cy cz de dk do dz ec ee eg es eu fi fr ge gr gt hk hn hr hu id ie il in iq ir is it jo jp ke kr kw kz"
+    " lb li lk lt lu lv ma mc md mk mt mx my ng ni nl no nz om pa pe ph pk pl ps pt py qa ro rs ru sa se sg si sk sm sn sv th tn tr tw ua uk us uy uz ve vn za zw".split()
+)
+GIVEN_NAMES = frozenset(
+    "adam agnes ahmed alan albert alejandro alex alexander alfred alice ana andrea andrew angela anna anne anthony antonio arthur barbara beatrice benjamin bernard brian bruno camille carla carlos carmen caroline"
+    " catherine charles charlotte chloe christian christine claire claudia daniel david diana diego dominik edward elena elisabeth elizabeth emil emily emma eric erik eva fatima felix fernando florian francis francisco"
+    " frank franz fritz george gerard gustav hanna hannah hans heinrich helen helena henri henry hugo ines ingrid irene isabel jack jacques james jan jane javier jean jennifer jessica joan johann johannes john jonas jorge"
+    " jose joseph juan julia julian julie karl karin katharina kevin klaus kurt laura lea lena leo leon linda lisa louis louise lucas lucia luis luisa lukas manuel marc marco maria marie mario mark marta martin mary matthew"
+    " max michael michel miguel mohamed monica nadia natalie nicolas nina nora olga oliver olivier oscar otto pablo patricia patrick paul paula pedro peter petra philip pierre rachel ralf ramon raul rebecca richard robert".split()
+)
+IBAN_LANDS = frozenset(
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+)
 # Words that speak for or against personal data nearby.
 SPEAKS_FOR = {
     "email": ("mail", "contact", "write to"), "ip": ("ip", "address", "login from", "host"), "card": ("card", "visa", "payment", "credit"),
@@ -65,9 +79,17 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(v * 2 - 9 * (v > 4) for v in values[1::2])) % 10 == 0
 
 
-def base_spans(text: str) -> list[Span]:
-    """Strict matches, leftmost and non-overlapping within a kind, by start and then kind."""
-    found: list[Span] = []
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists that labelers look in; all lower-case but for lands."""
+
+    domains: frozenset[str] = TOP_DOMAINS
+    names: frozenset[str] = GIVEN_NAMES
+    lands: frozenset[str] = IBAN_LANDS
+
+
+def strict_matches(text: str) -> Iterator[tuple[Span, bool]]:
+    """Matches of the strict forms, leftmost and non-overlapping within a kind, and whether they pass the form's check."""
     if "@" in text:
         free = 0
         for m in DOMAIN.finditer(text):
@@ -75,47 +97,57 @@ def base_spans(text: str) -> list[Span]:
             while start > free and text[start - 1] in LOCAL:
                 start -= 1
             if start < m.start():
-                found.append(("email", start, m.end()))
+                yield ("email", start, m.end()), True
                 free = m.end()
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
-            found.append(("ip", m.start(), m.end()))
+        yield ("ip", m.start(), m.end()), all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                found.append(("card", m.start(), m.end()))
+            if 12 <= len(digits) <= 19:
+                yield ("card", m.start(), m.end()), luhn(digits)
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 9 <= len(DIGITS.findall(m[0])) <= 15:
-                found.append(("phone", m.start(), m.end()))
+            yield ("phone", m.start(), m.end()), 9 <= len(DIGITS.findall(m[0])) <= 15
+
+
+def in_order(found: list[Span]) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def loose_spans(text: str, taken: Sequence[Span]) -> list[Span]:
-    """Looser candidates that do not touch a base span."""
-    found = []
-    taken = sorted((a, b) for _, a, b in taken)
+def base_spans(text: str) -> list[Span]:
+    """Strict matches that pass, by start and then kind."""
+    return in_order([s for s, good in strict_matches(text) if good])
+
+
+def candidates(text: str) -> tuple[list[Span], list[tuple[Span, int]]]:
+    """Base spans, and what else may be personal data without touching them: with 0 for a loose form, -1 for a strict one that failed."""
+    matches = list(strict_matches(text))
+    base = in_order([s for s, good in matches if good])
+    found = [(s, -1) for s, good in matches if not good]
     for kind, pattern in LOOSE.items():
         if any(h in text for h in HINT[kind]):
-            found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    out, at, free = [], 0, 0
-    for kind, a, b in found:
-        while at < len(taken) and taken[at][1] <= a:
+            found += [((kind, m.start(), m.end()), 0) for m in pattern.finditer(text)]
+    found.sort(key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2], x[1]))
+    taken = sorted((a, b) for _, a, b in base)
+    out, at, reach, free = [], 0, 0, 0
+    for span, form in found:
+        _, a, b = span
+        while at < len(taken) and taken[at][0] <= a:
+            reach = max(reach, taken[at][1])
             at += 1
-        if a >= free and not (at < len(taken) and taken[at][0] < b):
-            out.append((kind, a, b))
+        if a >= free and a >= reach and not (at < len(taken) and taken[at][0] < b):
+            out.append((span, form))
             free = b
-    return out
+    return base, out
 
 
-def features(text: str, span: Span, strict: bool) -> tuple[str, tuple[int, ...], int]:
-    """Kind, the labelers' votes (form, checksum, gazetteer, context, surroundings) and a length class."""
+def features(text: str, span: Span, form: int, lists: Gazetteers = Gazetteers()) -> tuple[str, tuple[int, ...], int]:
+    """Kind, the labelers' votes (form, checksum, gazetteer, context, surroundings) and a length class; ``form`` is 1 for base spans."""
     kind, a, b = span
     own = text[a:b]
     digits = "".join(DIGITS.findall(own))
-    form = 1 if strict or kind in ("iban", "id") else 0
+    form = form or (1 if kind in ("iban", "id") else 0)
     check = 0
     if kind == "card":
         check = 1 if luhn(digits) else -1
@@ -126,11 +158,11 @@ def features(text: str, span: Span, strict: bool) -> tuple[str, tuple[int, ...],
         check = -1 if len(set(digits)) == 1 or digits in "01234567890123456789" else 0
     known = 0
     if kind == "email":
-        known = 1 if own.rsplit(".", 1)[-1].lower() in TOP_DOMAINS else -1
+        known = 1 if own.rsplit(".", 1)[-1].lower() in lists.domains else -1
     elif kind == "iban":
-        known = 1 if own[:2] in IBAN_LANDS else -1
+        known = 1 if own[:2] in lists.lands else -1
     elif kind == "name":
-        known = 1 if {w.lower() for w in own.split()[1:]} & GIVEN_NAMES else 0
+        known = 1 if {w.lower() for w in own.split()[1:]} & lists.names else 0
     elif kind == "card":
         known = 1 if digits[:1] in ("3", "4", "5", "6") else -1
     before = text[max(0, a - 30) : a].lower()
@@ -173,7 +205,7 @@ def design(kind: str, votes: tuple[int, ...], length: int) -> np.ndarray:
     return x
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def learn(docs: DataFrame, text_col: str = "text", lists: Gazetteers = Gazetteers()) -> np.ndarray:
     """Weights of the span classifier, from the vote patterns of all candidates of all documents.
 
     Tasks count patterns, of which there are a few thousand at most (kinds, votes
@@ -183,16 +215,16 @@ def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         seen: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                base = base_spans(text)
-                seen.update(features(text, s, True) for s in base)
-                seen.update(features(text, s, False) for s in loose_spans(text, base))
+                base, more = candidates(text)
+                seen.update(features(text, s, 1, lists) for s in base)
+                seen.update(features(text, s, form, lists) for s, form in more)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _, _ in keys], pa.string()), pa.array([list(v) for _, v, _ in keys], pa.list_(pa.int32())), pa.array([x for _, _, x in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())],
             names=["kind", "votes", "length", "n"],
         )
 
-    counted = pick(docs, text=text_col).mapInArrow(run, "kind string, votes array<int>, length int, n long").groupBy("kind", "votes", "length").agg(F.sum("n").alias("n"))
+    counted = map_batches(pick(docs, text=text_col), run, "kind string, votes array<int>, length int, n long").groupBy("kind", "votes", "length").agg(F.sum("n").alias("n"))
     rows = sorted((r.kind, tuple(r.votes), r.length, r.n) for r in counted.collect())
     patterns: Counter = Counter()
     for kind, votes, _, n in rows:
@@ -211,11 +243,10 @@ def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return weights
 
 
-def spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+def spans(text: str, weights: np.ndarray, lists: Gazetteers = Gazetteers()) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans in order: the base ones and the candidates that the classifier takes."""
-    base = base_spans(text)
-    more = [s for s in loose_spans(text, base) if design(*features(text, s, False)) @ weights >= 0]
-    return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
+    base, more = candidates(text)
+    return base, in_order(base + [s for s, form in more if design(*features(text, s, form, lists)) @ weights >= 0])
 
 
 def told(found: Sequence[Span]) -> str:
@@ -233,30 +264,34 @@ def mask(text: str, found: Sequence[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def detect(docs: DataFrame, weights: np.ndarray, text_col: str = "text", masked: str | None = None) -> DataFrame:
-    """``docs`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256`` and ``spans``.
+def detect(docs: DataFrame, weights: np.ndarray, text_col: str = "text", masked: str | None = None, lists: Gazetteers = Gazetteers()) -> DataFrame:
+    """``docs`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``, ``n_spans`` and ``n_added``.
 
-    Counts and the digest are of the base spans; ``spans`` has all. Offsets are
+    The counts by kind and the digest are of the base spans; ``spans`` and ``n_spans``
+    are of all, ``n_added`` of those that the classifier added. Offsets are
     code points, end exclusive. A null text counts as empty: no spans. With
     ``masked``, a column of that name has the text with its spans replaced (null
     stays null). Columns of the input with these names give way. No shuffle.
     """
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
+    fields += [T.StructField(n, T.LongType()) for n in ("n_spans", "n_added")]
     fields += [T.StructField(masked, T.StringType())] if masked else []
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         def work(column: pa.Array) -> list[pa.Array]:
             counts: list[list[int]] = [[] for _ in BASE]
-            digests, all_spans, clean = [], [], []
+            digests, all_spans, sizes, added, clean = [], [], [], [], []
             for item in column:
                 text = item.as_py()
-                base, found = spans(text or "", weights)
+                base, found = spans(text or "", weights, lists)
                 for k, c in zip(BASE, counts):
                     c.append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(told(base).encode()).hexdigest())
                 all_spans.append(told(found))
+                sizes.append(len(found))
+                added.append(len(found) - len(base))
                 clean.append(None if text is None else mask(text, found))
-            out = [pa.array(c, pa.int64()) for c in counts] + [pa.array(x, pa.string()) for x in (digests, all_spans)]
+            out = [pa.array(c, pa.int64()) for c in counts] + [pa.array(x, pa.string()) for x in (digests, all_spans)] + [pa.array(x, pa.int64()) for x in (sizes, added)]
             return out + ([pa.array(clean, pa.string())] if masked else [])
 
         return work
