@@ -1,14 +1,20 @@
 """Findings, reports and change ledgers of a table of texts.
 
-Counts come from expressions over the text alone and need no shuffle. Only what is
-told mark by mark (positions, groups, ledger) is exploded, and only from texts that
-hold a mark: the text between marks never leaves its row. One exchange on the id
-then serves the running sums, the ranks and the groups alike.
+Counts come from expressions over the text alone. What is told mark by mark (groups
+with their places, the ledger) is made in the row too, by Arrow functions that see
+only texts with a mark, go over each once and hold one text at a time. So nothing
+here shuffles, and rows that share an id stay texts of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_right
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import rules
@@ -37,40 +43,91 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return each.join(known, block & F.col("codepoint").between(F.col("lo"), F.col("hi"))).drop("block", "lo", "hi")
 
 
-def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``marks`` with ``position``, the mark's place in code points from 0."""
-    so_far = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks(docs, id_col, text_col).withColumn("position", (F.sum("gap").over(so_far) + F.col("k")).cast("int"))
+FINDINGS = "array<struct<codepoint int, name string, category string, severity string, action string, count long, first_positions array<int>>>"
+CHANGES = "array<struct<source_index int, output_index int, before string, after string, kind string>>"
+
+
+@lru_cache(maxsize=1)
+def scanner() -> tuple[re.Pattern, list[int], list[rules.Rule]]:
+    """A pattern for any mark, and the rules by the first code point of each of their ranges."""
+    ranges = sorted((a, b, r) for r in rules.RULES for a, b in r.ranges)
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b, _ in ranges) + "]"), [a for a, _, _ in ranges], [r for _, _, r in ranges]
+
+
+def rule_of(mark: str) -> rules.Rule:
+    _, starts, known = scanner()
+    return known[bisect_right(starts, ord(mark)) - 1]
+
+
+def findings_of(text: str, positions: int) -> list[tuple]:
+    """Fields of ``FINDINGS`` for each kind of mark in a text, by rising code point."""
+    count: Counter[str] = Counter()
+    first: dict[str, list[int]] = {}
+    for m in scanner()[0].finditer(text):
+        count[m[0]] += 1
+        if count[m[0]] <= positions:
+            first.setdefault(m[0], []).append(m.start())
+    told = ((mark, rule_of(mark)) for mark in sorted(count))
+    return [(ord(mark), r.name, r.category, r.severity, r.action, count[mark], first.get(mark, [])) for mark, r in told]
+
+
+def changes_of(text: str, mode: str, most: int) -> list[tuple]:
+    """Fields of ``CHANGES`` for the first ``most`` marks that the mode acts on."""
+    out, grown = [], 0
+    after: dict[str, str | None] = {}
+    for m in scanner()[0].finditer(text):
+        mark = m[0]
+        if mark not in after:
+            rule = rule_of(mark)
+            written = rules.written(rule)
+            after[mark] = None if rule.action not in rules.ACTIONS[mode] else written or (chr(ord(mark) - rules.FULL_WIDTH) if written == "" else "")
+        new = after[mark]
+        if new is None:
+            continue
+        if len(out) == most:
+            break
+        out.append((m.start(), m.start() + grown, mark, new, "normalized" if new else "removed"))
+        grown += len(new) - 1
+    return out
+
+
+def found(text: Column, positions: int = MOST_POSITIONS) -> Column:
+    """The findings of a text as ``FINDINGS``; null for a text without a mark."""
+    @F.pandas_udf(FINDINGS)
+    def tell(texts: pd.Series) -> pd.Series:
+        names = ("codepoint", "name", "category", "severity", "action", "count", "first_positions")
+        return pd.Series([None if t is None else [dict(zip(names, x)) for x in findings_of(t, positions)] for t in texts], dtype=object)
+
+    return tell(F.when(text.rlike(rules.ALL_FAST), text))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: int = MOST_POSITIONS) -> DataFrame:
-    """(id, codepoint, name, category, severity, action, count, first_positions): a row for each mark's kind in each text."""
-    first = Window.partitionBy(id_col, "codepoint").orderBy("position")
-    ranked = located(docs, id_col, text_col).withColumn("_n", F.row_number().over(first))
-    told = F.array_sort(F.collect_list(F.when(F.col("_n") <= positions, F.col("position"))))
-    return (
-        ranked.groupBy(id_col, "codepoint", "name", "category", "severity", "action")
-        .agg(F.count("*").alias("count"), told.alias("first_positions"))
-    )
+    """(id, codepoint, name, category, severity, action, count, first_positions): a row for each mark's kind in each text. No shuffle."""
+    hit = docs.where(F.col(text_col).rlike(rules.ALL_FAST)).select(F.col(id_col), found(F.col(text_col), positions).alias("_found"))
+    return hit.select(id_col, F.inline("_found"))
+
+
+def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, codepoint, position): a row for each mark and its place in code points from 0. No shuffle."""
+    @F.pandas_udf("array<struct<codepoint int, position int>>")
+    def tell(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"codepoint": ord(m[0]), "position": m.start()} for m in scanner()[0].finditer(t)] for t in texts], dtype=object)
+
+    hit = docs.where(F.col(text_col).rlike(rules.ALL_FAST)).select(F.col(id_col), tell(F.col(text_col)).alias("_places"))
+    return hit.select(id_col, F.inline("_places"))
 
 
 def ledger(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CHANGES) -> DataFrame:
-    """(id, source_index, output_index, before, after, kind): the first ``most`` changes of each text, by place."""
-    acts = F.col("action").isin(*rules.ACTIONS[rules.check_mode(mode)])
-    own = F.when(F.col("replacement") == "", F.col("mark")).otherwise(F.coalesce("replacement", F.lit("")))
-    source, target = rules.one_to_one()
-    after = F.when(F.col("replacement") == "", F.translate("mark", source, target)).otherwise(own)
-    here = Window.partitionBy(id_col).orderBy("k")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    grown = F.when(F.col("_acts"), F.length("after") - 1).otherwise(0)
-    return (
-        located(docs, id_col, text_col).withColumn("_acts", acts).withColumn("after", after).withColumn("_grown", grown)
-        .withColumn("output_index", (F.col("position") + F.coalesce(F.sum("_grown").over(before), F.lit(0))).cast("int"))
-        .withColumn("_n", F.sum(F.col("_acts").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where(F.col("_acts") & (F.col("_n") <= most))
-        .select(id_col, F.col("position").alias("source_index"), "output_index", F.col("mark").alias("before"), "after",
-                F.when(F.col("action").startswith("normalize"), "normalized").otherwise("removed").alias("kind"))
-    )
+    """(id, source_index, output_index, before, after, kind): the first ``most`` changes of each text, by place. No shuffle."""
+    rules.check_mode(mode)
+
+    @F.pandas_udf(CHANGES)
+    def tell(texts: pd.Series) -> pd.Series:
+        names = ("source_index", "output_index", "before", "after", "kind")
+        return pd.Series([None if t is None else [dict(zip(names, x)) for x in changes_of(t, mode, most)] for t in texts], dtype=object)
+
+    hit = docs.where(F.col(text_col).rlike(rules.fast(rules.acted_on(mode))))
+    return hit.select(F.col(id_col), tell(F.col(text_col)).alias("_changes")).select(id_col, F.inline("_changes"))
 
 
 def counts(text: Column) -> list[Column]:
@@ -80,26 +137,22 @@ def counts(text: Column) -> list[Column]:
     ]
 
 
-def analyze_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = tx.TEXT_LIMIT) -> DataFrame:
+def analyze_text(docs: DataFrame, text_col: str = "text", limit: int = tx.TEXT_LIMIT) -> DataFrame:
     """``docs`` with an ``analysis`` struct: version, counts, risks and the findings by rising code point.
 
     A null text has a null report; a text beyond ``limit`` bytes or that is no
     UTF-8 has a null report and its ``error_code``. Texts without marks have an
-    empty list of findings. ``id_col`` must name a row.
+    empty list of findings. No shuffle; rows may share an id.
     """
     text = F.col(text_col)
     checked = docs.withColumn("error_code", tx.text_error(text, limit))
-    taken = checked.where("error_code is null")
-    one = F.struct(tx.codepoint_name(F.col("codepoint")).alias("codepoint"), "name", "category", "severity", "action", "count", "first_positions")
-    found = groups(taken, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("codepoint", one.alias("finding")))), lambda x: x["finding"]).alias("_findings"))
-    # Counted before the join: a text that nobody asks for afterwards is not shuffled.
-    risks = F.struct(*[tx.severity_count(text, s).alias(s) for s in rules.SEVERITIES]).alias("risk_counts")
-    good = text.isNotNull() & F.col("error_code").isNull()
-    joined = checked.withColumn("_facts", F.when(good, F.struct(*counts(text), risks))).join(found, id_col, "left")
-    none = F.array().cast(found.schema["_findings"].dataType)
-    facts = [F.col(f"_facts.{c}") for c in ("bytes", "characters", "finding_count", "sha256", "risk_counts")]
-    report = F.struct(F.lit(rules.RULE_SET_VERSION).alias("rule_set_version"), *facts, F.coalesce("_findings", none).alias("findings"))
-    return joined.withColumn("analysis", F.when(F.col("_facts").isNotNull(), report)).drop("_findings", "_facts")
+    good = F.when(F.col("error_code").isNull(), text)
+    named = F.transform(found(good), lambda x: F.struct(tx.codepoint_name(x["codepoint"]).alias("codepoint"), *[x[c].alias(c) for c in ("name", "category", "severity", "action", "count", "first_positions")]))
+    told = checked.withColumn("_findings", named)
+    risks = F.struct(*[tx.severity_count(good, s).alias(s) for s in rules.SEVERITIES]).alias("risk_counts")
+    none = F.array().cast(told.schema["_findings"].dataType)
+    report = F.struct(F.lit(rules.RULE_SET_VERSION).alias("rule_set_version"), *counts(good), risks, F.coalesce("_findings", none).alias("findings"))
+    return told.withColumn("analysis", F.when(good.isNotNull(), report)).drop("_findings")
 
 
 def sanitize_text(docs: DataFrame, mode: str, text_col: str = "text", limit: int = tx.TEXT_LIMIT) -> DataFrame:

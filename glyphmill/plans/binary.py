@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import binaries
 from glyphmill.plans import synthetic
 from glyphmill.plans.text import Query, read
+from glyphmill.sources.shared import spread
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -24,7 +25,7 @@ MIXED = f"{KNOWN}, made as (select doc_id, ([{', '.join(repr(f) for f in synthet
 
 
 def files(spark: SparkSession, sf_dir: str, form: str | None = None) -> DataFrame:
-    return synthetic.files(read(spark, sf_dir, "documents"), form)
+    return synthetic.files(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), form)
 
 
 def _one(form: str) -> None:

@@ -11,6 +11,7 @@ from glyphmill.functions import rules
 from glyphmill.functions import text as tx
 from glyphmill.operators import batches, findings
 from glyphmill.plans import marked
+from glyphmill.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The marked documents: id, text and the columns asked for."""
-    return marked.table(read(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id")
+    return spread(marked.table(read(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id"))
 
 
 def digest(text: Column) -> Column:
@@ -219,12 +220,14 @@ def q_projection_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a second pass of each mode changes nothing and finds nothing."""
-    text = F.col("text")
+    # A generated row keeps each first pass in a step of its own, so that it is worked out once.
+    first = F.explode(F.array(F.struct(*[tx.sanitize(F.col("text"), m).alias(m) for m in rules.MODES])))
+    once = docs(spark, sf_dir).select("doc_id", first.alias("once"))
     out = []
     for m in rules.MODES:
-        once = tx.sanitize(text, m)
-        out += [(once == tx.sanitize(once, m)).alias(f"idempotent_{m}"), (tx.removed_count(once, m) + tx.normalized_count(once, m)).alias(f"left_{m}")]
-    return docs(spark, sf_dir).select("doc_id", *out)
+        text = F.col(f"once.{m}")
+        out += [(text == tx.sanitize(text, m)).alias(f"idempotent_{m}"), (tx.removed_count(text, m) + tx.normalized_count(text, m)).alias(f"left_{m}")]
+    return once.select("doc_id", *out)
 
 
 @query(f"with {DOCS} select doc_id, {sql_required('mt')} as required_mode from docs")
@@ -327,7 +330,7 @@ def _texts(name: str, table: str, key: str, text: str, ids: tuple[str, ...]) ->
         name,
     )
     def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = read(spark, sf_dir, table).select(*ids, marked.marked(F.col(text), F.expr(key)).alias("text"))
+        own = spread(read(spark, sf_dir, table).select(*ids, marked.marked(F.col(text), F.expr(key)).alias("text")))
         out = findings.sanitize_text(own, "strict")
         return out.select(*ids, tx.finding_count(F.col("text")).alias("finding_count"), tx.severity_count(F.col("text"), "high").alias("risk_high"), digest(F.col("output")).alias("output_sha256"), tx.required_mode(F.col("output")).alias("still_needed"))
 

@@ -1,4 +1,4 @@
-"""The checkpoint folder that driver and executors share."""
+"""The checkpoint folder that driver and executors share, and small inputs shared among the cores."""
 
 from __future__ import annotations
 
@@ -21,3 +21,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files are too few or small for them; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -72,6 +72,15 @@ def test_golden_vectors(spark):
         assert row.probabilistic_watermark_status == "not-verifiable-without-vendor-detector"
 
 
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a\u200bb\u200b"), (1, "\u200bc\xa0"), (None, "\u2026"), (2, None), (3, "plain")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.codepoint, r["count"], r.first_positions) for r in findings.groups(df).collect()), key=repr)
+    assert got == sorted([(1, 0x200B, 2, [1, 3]), (1, 0x200B, 1, [0]), (1, 0xA0, 1, [2]), (None, 0x2026, 1, [0])], key=repr)
+    told = sorted(((r.doc_id, r.source_index, r.output_index, r.before, r.after, r.kind) for r in findings.ledger(df, "maximum").collect()), key=repr)
+    assert told == sorted([(1, 1, 1, "\u200b", "", "removed"), (1, 3, 2, "\u200b", "", "removed"), (1, 0, 0, "\u200b", "", "removed"), (1, 2, 1, "\xa0", " ", "normalized"), (None, 0, 0, "\u2026", "...", "normalized")], key=repr)
+    assert "Exchange" not in findings.analyze_text(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_random_strings_in_all_modes(spark):
     rng = random.Random(3)
     marks = [chr(c) for r in rules.RULES for s in r.ranges for c in s]
