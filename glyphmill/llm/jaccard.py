@@ -43,7 +43,7 @@ from glyphmill.llm.common import Tables, append, map_batches, pick, written
 WORDS = 5
 PERCENT = 80
 LEAST_SKETCH, MOST_SKETCH = 8, 512
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 300
 MOST_FREQUENT = 1_000_000
 MOST_SENT = 1_000_000
 SEEN_OFTEN = 2
