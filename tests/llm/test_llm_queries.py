@@ -8,9 +8,9 @@ from glyphmill.llm import queries
 COLUMNS = {
     "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op2_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op3_toxicity": ["doc_id", "held_out", "score", "predicted"], "op4_hamming_top_k": ["query_id", "rank", "vec_id", "distance"],
-    "op5_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op6_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op5_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"], "op6_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op7_jaccard_join": ["doc_id", "n_shingles", "component_id"], "op8_quality": ["doc_id", "held_out", "score", "predicted"],
-    "op9_html": ["page_id", "url", "text", "n_chars"], "op10_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op9_html": ["page_id", "url", "text", "n_chars"], "op10_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "n_added"],
 }
 
 
