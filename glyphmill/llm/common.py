@@ -62,6 +62,7 @@ class Tables:
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
+        self.names: list[str] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         """``df`` written and read again; its columns may have any names."""
@@ -71,7 +72,21 @@ class Tables:
         plain.write.parquet(path)
         return self.spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
+    def bucketed(self, df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+        """``df`` as a table in buckets of ``keys``: joins and groups by them do not shuffle it again.
+
+        The catalog needs a name for it until ``clear``; its files are in the folder.
+        """
+        self.n += 1
+        name = f"t{uuid.uuid4().hex}"
+        even = df.repartition(buckets, *keys)
+        even.write.bucketBy(buckets, *keys).option("path", f"{self.folder}/{self.n}").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
     def clear(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

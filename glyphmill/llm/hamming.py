@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import append, checkpoint, pick
+from glyphmill.llm.common import Tables, append, checkpoint, pick
 
 SEGMENT = 16
 BLOCK_CODES = 8_192
 MOST_HIGH_BITS = 12
+BUCKET_ROWS = 262_144
+MOST_BUCKETS = 20_000
+MOST_PAIRS = 1 << 20
 
 
 def masks(r: int, bits: int = SEGMENT) -> np.ndarray:
@@ -58,12 +61,15 @@ def segment(n: int) -> F.Column:
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows of ``codes`` for each row of ``queries``.
 
-    Both have vec_id and code. Ties go to the lower vec_id; fewer than k rows give all.
+    Both have vec_id and code, of ``2 * segments`` bytes; other columns may have any
+    names, and rows without an id or a code are left out. Ties go to the lower vec_id; fewer than k rows give all.
     Repeated rows count once, in both.
     Codes that repeat are searched once, with their k least ids; so do queries. The
     index is dealt out in blocks of about ``BLOCK_CODES`` codes, large buckets in several,
-    and each block answers with k rows for a query at most.
+    and each block answers with k rows for a query at most. It is shuffled once, into a
+    bucketed table in the shared folder, to which each radius sends its queries.
     """
+    codes, queries = (pick(x, vec_id="vec_id", code="code").where("vec_id is not null and code is not null") for x in (codes, queries))
     rank = Window.partitionBy("code").orderBy("vec_id")
     index = checkpoint(
         codes.dropDuplicates(["vec_id", "code"]).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k)
@@ -76,7 +82,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     parts = parts.select("code", "ids", "s.seg", F.shiftright("s.value", low).alias("top"))
     sizes = parts.groupBy("seg", "top").agg(F.ceil(F.count("*") / (2 * BLOCK_CODES)).alias("cuts"))
     sizes = checkpoint(sizes)
-    dealt = checkpoint(parts.join(sizes, ["seg", "top"]).withColumn("cut", F.pmod(F.xxhash64("code"), "cuts")).select("seg", "top", "cut", "code", "ids")).toDF("i_seg", "i_top", "i_cut", "entry", "ids")
+    dealt = parts.join(sizes, ["seg", "top"]).select(F.col("seg").alias("i_seg"), F.col("top").alias("i_top"), F.pmod(F.xxhash64("code"), "cuts").alias("i_cut"), F.col("code").alias("entry"), "ids")
+    own = Tables(codes.sparkSession)
+    buckets = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, total * segments // BUCKET_ROWS))
+    dealt = own.bucketed(dealt, ["i_seg", "i_top", "i_cut"], buckets)
 
     asked = checkpoint(queries.select("code").distinct())
     best = asked.select("code", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("vec_id")).limit(0)
@@ -96,6 +105,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
         active = asked.join(state, "code", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("worst") > covered))
         active = checkpoint(active.select("code", F.when(F.coalesce("n", F.lit(0)) < k, 1 << 30).otherwise(F.col("worst")).alias("worst")))
         r += 1
+    own.clear()
     out = queries.select(F.col("vec_id").alias("query_id"), "code").distinct().join(best, "code")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "vec_id")))
     return ranked.select("query_id", "rank", "vec_id", "distance")
@@ -105,39 +115,66 @@ def matcher(r: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
     """Finds, within one block of a segment, the codes that this radius adds, and verifies them.
 
     A code is told by the first of its segments of least distance, and only there,
-    so that no code is told twice.
+    so that no code is told twice. Queries are taken as many at a time as make
+    ``MOST_PAIRS`` pairs with the block at most.
     """
+    flips = masks(r)
+
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[bytes, int, int]] = []
+        found: list[pd.DataFrame] = []
         if len(queries) and len(codes):
             seg = int(codes["i_seg"].iat[0])
-            table = np.frombuffer(b"".join(codes["entry"]), ">u2").reshape(len(codes), -1).astype(np.uint16)
-            ids = codes["ids"].to_numpy()
+            table = numbers(codes["entry"])
             order = np.argsort(table[:, seg], kind="stable")
-            values, starts = np.unique(table[order, seg], return_index=True)
-            stops = np.append(starts[1:], len(order))
-            flips = masks(r)
-            for query, worst in zip(queries["code"], queries["worst"]):
-                q = np.frombuffer(query, ">u2").astype(np.uint16)
+            table = table[order]
+            values, starts, sizes = np.unique(table[:, seg], return_index=True, return_counts=True)
+            slots = np.full(1 << SEGMENT, -1, np.int32)
+            slots[values] = np.arange(len(values))
+            named = codes["ids"].to_numpy()[order]
+            firsts = np.cumsum([0] + [len(i) for i in named])
+            ids = np.concatenate(named).astype(np.int64)
+            asked, worst = numbers(queries["code"]), queries["worst"].to_numpy()
+            step = max(1, MOST_PAIRS // max(len(codes), min(len(flips), len(values))))
+            for at in range(0, len(asked), step):
+                q = asked[at : at + step]
                 if len(flips) < len(values):
-                    wanted = flips ^ q[seg]
-                    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-                    at = at[values[at] == wanted]
+                    slot = slots[flips ^ q[:, seg, None]]
+                    who, which = np.nonzero(slot >= 0)
+                    which = slot[who, which]
                 else:
-                    at = np.flatnonzero(np.bitwise_count(values ^ q[seg]) == r)
-                if not len(at):
-                    continue
-                rows = order[np.concatenate([np.arange(starts[i], stops[i]) for i in at])]
-                apart = np.bitwise_count(table[rows] ^ q)
-                rows, apart = (x[apart.argmin(1) == seg] for x in (rows, apart))
-                distance = apart.sum(1, dtype=np.int64)
-                fits = distance <= worst
-                rows, distance = rows[fits], distance[fits]
-                if len(rows) > k:
-                    least = distance <= np.partition(distance, k - 1)[k - 1]
-                    rows, distance = rows[least], distance[least]
-                named = sorted((int(d), int(i)) for row, d in zip(rows, distance) for i in ids[row])
-                out += [(query, d, i) for d, i in named[:k]]
-        return pd.DataFrame(out, columns=["code", "distance", "vec_id"]).astype({"distance": "int32", "vec_id": "int64"})
+                    who, which = np.nonzero(np.bitwise_count(values ^ q[:, seg, None]) == r)
+                who, rows = np.repeat(who, sizes[which]), ranges(starts[which], sizes[which])
+                apart = np.bitwise_count(table[rows] ^ q[who])
+                distance = apart.sum(1, dtype=np.int32)
+                keep = (apart.argmin(1) == seg) & (distance <= worst[at + who])
+                who, rows, distance = who[keep], rows[keep], distance[keep]
+                # codes as far as each query's k-th, then their ids
+                keep = least(who, distance, rows, k, ties=True)
+                who, rows, distance = who[keep], rows[keep], distance[keep]
+                many = firsts[rows + 1] - firsts[rows]
+                who, distance, told = np.repeat(who, many), np.repeat(distance, many), ids[ranges(firsts[rows], many)]
+                keep = least(who, distance, told, k)
+                found.append(pd.DataFrame({"code": queries["code"].to_numpy()[at + who[keep]], "distance": distance[keep], "vec_id": told[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"code": [], "distance": np.empty(0, np.int32), "vec_id": np.empty(0, np.int64)})
 
     return run
+
+
+def numbers(codes: pd.Series) -> np.ndarray:
+    """Codes as rows of their segments' values."""
+    return np.frombuffer(b"".join(codes), ">u2").reshape(len(codes), -1).astype(np.uint16)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def least(who: np.ndarray, distance: np.ndarray, then: np.ndarray, k: int, ties: bool = False) -> np.ndarray:
+    """Places of the k rows of least (distance, then) for each of ``who``; with ``ties`` all rows as far as the k-th."""
+    order = np.lexsort((then, distance, who))
+    _, starts, sizes = np.unique(who[order], return_index=True, return_counts=True)
+    if ties:
+        last = distance[order][starts + np.minimum(sizes, k) - 1]
+        return order[distance[order] <= np.repeat(last, sizes)]
+    return order[ranges(np.zeros_like(sizes), sizes) < k]

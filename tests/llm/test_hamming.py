@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import hamming
+from glyphmill.llm.common import Tables
 
 
 def brute(codes, queries, k):
@@ -30,6 +31,25 @@ def test_against_all_distances(spark, monkeypatch, n, k, segments):
     assert {tuple(r) for r in got.collect()} == brute(rows, [r for r in rows if r[0] % 10 == 0], k)
 
 
+def test_few_pairs_at_a_time_and_rows_of_any_columns(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK_CODES", 8)
+    monkeypatch.setattr(hamming, "MOST_PAIRS", 20)
+    rng = random.Random(5)
+    rows = [(i, bytes([rng.randrange(4), 0, rng.randrange(256), 7])) for i in range(120)]
+    codes = spark.createDataFrame([(i, bytearray(c), "x", 1, 2) for i, c in rows] + [(None, bytearray(4), "x", 1, 2), (500, None, None, None, None)], "vec_id long, code binary, ids string, Code2 int, worst int")
+    got = hamming.search(codes, codes.where("vec_id % 3 = 0 or vec_id is null or code is null"), 4, 2)
+    assert {tuple(r) for r in got.collect()} == brute(rows, [r for r in rows if r[0] % 3 == 0], 4)
+    assert not [t for t in spark.catalog.listTables() if not t.isTemporary]
+
+
+def test_joins_with_a_bucketed_table_do_not_shuffle_it(spark):
+    tables = Tables(spark)
+    index = tables.bucketed(spark.range(1000).selectExpr("id % 7 as k", "id"), ["k"], 16)
+    plan = spark.range(5).withColumnRenamed("id", "k").groupBy("k").cogroup(index.groupBy("k")).applyInPandas(lambda a, b: a, "k long")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and index.count() == 1000
+    tables.clear()
+
+
 def test_codes_of_odd_vectors(spark):
     rows = [(1, [1.0, -1.0]), (2, None), (None, [1.0]), (3, []), (4, [0.0, None]), (5, [float(x) for x in np.resize([1, -1], 20)])]
     got = {r.vec_id: bytes(r.code) for r in hamming.binary_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
