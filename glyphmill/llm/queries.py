@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, decontam, hamming, html, jaccard, langid, pii, quality, secrets, sql, toxicity
+from glyphmill.llm import bpe, decontam, hamming, html, jaccard, langid, negatives, pii, quality, resample, secrets, sql, substrings, toxicity
 from glyphmill.llm.common import fold_of, read
 
 LANG_FOLDS, LANG_HELD = 3, 1
@@ -77,14 +77,32 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("text")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, by name."""
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_bpe, op3_toxicity, op4_hamming_top_k, op5_pii, op6_decontamination, op7_jaccard_join, op8_quality, op9_html, op10_secrets)
+        for f in (
+            op1_language_id, op2_bpe, op3_toxicity, op4_hamming_top_k, op5_pii, op6_decontamination, op7_jaccard_join, op8_quality, op9_html, op10_secrets,
+            op11_resampling, op12_hard_negatives, op13_substring_dedup,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op4_hamming_top_k": sql.HAMMING, "op6_decontamination": sql.DECONTAMINATION, "op7_jaccard_join": sql.JACCARD}
+    return {
+        "op4_hamming_top_k": sql.HAMMING, "op6_decontamination": sql.DECONTAMINATION, "op7_jaccard_join": sql.JACCARD,
+        "op11_resampling": sql.RESAMPLING, "op12_hard_negatives": sql.NEGATIVES, "op13_substring_dedup": sql.SUBSTRINGS,
+    }
