@@ -15,10 +15,11 @@ from glyphmill.functions.containers import Piece, need
 
 TOKEN = re.compile(
     rb"<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|(?P<doctype><!DOCTYPE\b)"
-    rb"|</(?P<end>[^\s<>/]+)\s*>|<(?P<start>[^\s<>/!?=\"']+)(?P<attributes>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|(?P<text>[^<]+)",
+    rb"|</(?P<end>[^\s<>/]++)\s*+>|<(?P<start>[^\s<>/!?=\"']++)(?P<attributes>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|(?P<text>[^<]++)",
     re.S,
 )
-ATTRIBUTE = re.compile(rb"\s+([^\s<>=\"'/]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')", re.S)
+# Quantifiers give nothing back, and attributes are matched one after another: a run of blanks is gone over once.
+ATTRIBUTE = re.compile(rb"\s++([^\s<>=\"'/]++)\s*+=\s*+(?:\"([^\"<]*+)\"|'([^'<]*+)')", re.S)
 ANGLE = re.compile(rb"[<>]")
 SAFE_MARK = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for r in rules.RULES if r.action == "remove_safe" for a, b in r.ranges) + "]")
 # Attributes that tell who worked on a document and when; how references that leave it begin.
@@ -55,8 +56,7 @@ def tokens(data: bytes, declarations: bool = False) -> Iterator[Token]:
             empty = inner.endswith(b"/")
             inner = inner[:-1] if empty else inner
             found, pos = [], 0
-            for a in ATTRIBUTE.finditer(inner):
-                need(a.start() == pos, "malformed attribute")
+            while a := ATTRIBUTE.match(inner, pos):
                 pos, group = a.end(), 2 if a[2] is not None else 3
                 found.append((base + a.start(), base + a.end(), a[1], base + a.start(group), base + a.end(group)))
             need(not inner[pos:].strip(), "malformed attribute")

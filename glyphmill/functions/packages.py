@@ -68,6 +68,7 @@ def checked(data: bytes) -> zipfile.ZipFile:
     for e in sorted(entries, key=lambda e: e.header_offset):
         need(e.header_offset == 0 or ends, "data before the container")
         need(e.header_offset >= ends and data[e.header_offset : e.header_offset + 4] == b"PK\3\4", "overlapping entries")
+        need(e.header_offset + 30 <= len(data), "entry header")
         name, extra = struct.unpack_from("<HH", data, e.header_offset + 26)
         ends = e.header_offset + 30 + name + extra + e.compress_size
     return box

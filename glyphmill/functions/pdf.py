@@ -131,8 +131,10 @@ def read(data: bytes) -> tuple[list[Thing], dict[str, tuple[int, int]]]:
         if "Info" in entries and isinstance(entries["Info"].value, dict):
             trailer["Info"] = DIRECT
 
+    m = HEAD.search(data)
     while True:
-        m = HEAD.search(data, at)
+        if m and m.start() < at:
+            m = HEAD.search(data, at)
         t = TRAILER.search(data, at, m.start() if m else len(data))
         if t:
             start = after_blank(data, t.end())

@@ -3,13 +3,15 @@
 Small helpers take one file apart and tell its pieces (chunks, segments, entries,
 objects, spans); Spark decides what they mean, by joins with tables of tags, by
 windows over runs of segments and by joins of objects that name each other. What
-goes back to a file is a short plan of what to cut, so contents are never shuffled
-but in the one join with their plans.
+goes back to a file is a short plan of what to cut. While plans are few, by a count
+of their files and steps, they are broadcast, and no content is shuffled; beyond
+that contents and plans meet in a shuffled join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +48,10 @@ DESCRIPTIONS = {
     "active-content": "Scripts and event handlers", "external-references": "References to other places", "unicode": "Invisible characters", "pdf-metadata": "Info dictionary and XMP streams",
     "c2pa": "Provenance manifest", "pdf-annotation-privacy": "Authors and times of annotations", "pdf-active-content": "Scripts, launches and automatic actions",
 }
+#: Files and steps of plans that are broadcast at most.
+MOST_PLANS, MOST_STEPS = 500_000, 1_000_000
 PARTS = (
-    "format string, seq int, start long, stop long, tag string, hint string, private int, marks int, digest string, names array<string>, refs array<int>, files array<int>, error string"
+    "bytes long, sha256 string, format string, seq int, start long, stop long, tag string, hint string, private int, marks int, digest string, names array<string>, refs array<int>, files array<int>, error string"
 )
 ANNOTATION_KEYS = ("T", "M", "CreationDate", "NM")
 ACTION_KEYS = ("JS", "OpenAction", "AA")
@@ -63,7 +67,7 @@ def candidate(content: Column) -> Column:
 
 
 def row(fmt: str, seq: int, **more: object) -> dict:
-    return {"format": fmt, "seq": seq, "start": 0, "stop": 0, "tag": "", "hint": "", "private": 0, "marks": 0, "digest": None, "names": None, "refs": None, "files": None, "error": None} | more
+    return {"bytes": None, "sha256": None, "format": fmt, "seq": seq, "start": 0, "stop": 0, "tag": "", "hint": "", "private": 0, "marks": 0, "digest": None, "names": None, "refs": None, "files": None, "error": None} | more
 
 
 def pieces(fmt: str, data: bytes) -> list[dict]:
@@ -84,7 +88,7 @@ def pieces(fmt: str, data: bytes) -> list[dict]:
         return [head | {"error": str(e)}]
     except RecursionError:
         return [head | {"error": "nested too deeply"}]
-    except (ValueError, OverflowError, LookupError):
+    except (ValueError, OverflowError, LookupError, struct.error):
         return [head | {"error": "malformed file"}]
 
 
@@ -103,18 +107,21 @@ def described(thing: pdf.Thing) -> dict:
 
 
 def parts(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, ...): the pieces of every file that has content. No shuffle."""
-    taken = files.where(F.col(content_col).isNotNull() & F.octet_length(content_col).between(1, BINARY_LIMIT))
-    taken = taken.select(F.col(id_col).alias("id"), candidate(F.col(content_col)).alias("format"), F.col(content_col).alias("content"))
+    """(id, ...): the pieces of every file, after a row (seq -1) with its size and digest. Content beyond the limits is not taken apart. No shuffle."""
+    own = F.col(content_col)
+    fits = F.octet_length(own).between(1, BINARY_LIMIT)
+    taken = files.select(F.col(id_col).alias("id"), F.octet_length(own).cast("long").alias("bytes"), F.sha2(own, 256).alias("sha256"), candidate(own).alias("format"), F.when(fits, own).alias("content"))
     kind = taken.schema["id"].dataType.simpleString()
     names = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = pieces(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                size, digest, fmt, data = (batch.column(c)[i].as_py() for c in range(1, 5))
+                rows = pieces(fmt, data) if data is not None else [row(fmt, -1)]
+                rows[0] |= {"bytes": size, "sha256": digest}
                 ids = batch.column(0).take(pa.array([i] * len(rows)))
-                types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
                 yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=["id", *names])
 
     return taken.mapInArrow(run, f"id {kind}, {PARTS}")
@@ -207,7 +214,7 @@ def document_hits(own: DataFrame) -> DataFrame:
 
 
 def inspected(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, format, findings, plan, error): what is in each file, and what to do about it; a row for each file with content."""
+    """(id, bytes, sha256, format, findings, plan, error): what is in each file, and what to do about it; a row for each file."""
     own = checkpoint(parts(files, id_col, content_col))  # small rows; four families of findings read them
     formats = package_formats(own)
     hits = image_hits(own).unionByName(package_hits(own, formats)).unionByName(document_hits(own))
@@ -219,12 +226,14 @@ def inspected(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull() & (F.col("n") > 0), finding))), lambda x: x["finding"]).alias("findings"),
         F.flatten(F.collect_list("plan")).alias("plan"),
     )
-    heads = own.where("seq = -1").select("id", "format", "error").join(formats, "id", "left")
+    heads = own.where("seq = -1").select("id", "bytes", "sha256", "format", "error").join(formats, "id", "left")
+    taken = F.coalesce(F.col("bytes").between(1, BINARY_LIMIT), F.lit(False))
     known = F.when(F.col("format") != "zip", F.col("format")).otherwise(F.col("package"))
-    error = F.coalesce("error", F.when(known.isNull(), "no office document"))
+    error = F.when(taken, F.coalesce("error", F.when(known.isNull(), "no office document")))
+    good = taken & error.isNull()
     none = lambda name: F.array().cast(told.schema[name].dataType)
     return heads.join(told, "id", "left").select(
-        "id", F.when(error.isNull(), known).alias("format"), F.when(error.isNull(), F.coalesce("findings", none("findings"))).alias("findings"), F.coalesce("plan", none("plan")).alias("plan"), error.alias("error"),
+        "id", "bytes", "sha256", F.when(good, known).alias("format"), F.when(good, F.coalesce("findings", none("findings"))).alias("findings"), F.coalesce("plan", none("plan")).alias("plan"), error.alias("error"),
     )
 
 
@@ -232,17 +241,14 @@ def total(findings: str) -> Column:
     return F.aggregate(findings, F.lit(0).cast("long"), lambda a, x: a + x["count"])
 
 
-def report(files: DataFrame, looked: DataFrame, id_col: str, content_col: str) -> DataFrame:
+def report(looked: DataFrame, id_col: str) -> DataFrame:
     mime = F.element_at(F.create_map(*[F.lit(x) for kv in MIMES.items() for x in kv]), F.col("format"))
-    own = F.col(content_col)
-    facts = files.select(F.col(id_col).alias("id"), F.octet_length(own).cast("long").alias("bytes"), F.sha2(own, 256).alias("sha256"))
-    joined = facts.join(looked.drop("plan"), "id", "left")
     code = (
         F.when(F.col("bytes").isNull(), None).when(~F.col("bytes").between(1, BINARY_LIMIT), "size-limit")
         .when(F.col("error") == "unknown format", "unknown-format").when(F.col("error").isNotNull(), "broken-file")
     )
     kinds = F.transform("findings", lambda x: x["kind"])
-    return joined.select(
+    return looked.select(
         F.col("id").alias(id_col), "format", mime.alias("mime"), "bytes", "sha256", total("findings").alias("metadata_count"), F.array_contains(kinds, "c2pa").alias("c2pa_detected"), "findings",
         code.alias("error_code"), F.col("error").alias("error_detail"),
     )
@@ -255,7 +261,7 @@ def analyze_binary(files: DataFrame, id_col: str = "path", content_col: str = "c
     ``unknown-format`` or ``broken-file``) and null counts, and never ends the job;
     null content gives nulls.
     """
-    return report(files, inspected(files, id_col, content_col), id_col, content_col)
+    return report(inspected(files, id_col, content_col), id_col)
 
 
 def rebuild(fmt: str, data: bytes, plan: list[tuple[int, int, str]]) -> bytes:
@@ -281,15 +287,22 @@ def rebuild(fmt: str, data: bytes, plan: list[tuple[int, int, str]]) -> bytes:
     return containers.webp_finished(cut) if fmt == "webp" else cut
 
 
-def sanitize_binary(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+def sanitize_binary(files: DataFrame, id_col: str = "path", content_col: str = "content", rebuild: Callable[[str, bytes, list], bytes] = rebuild, most_plans: int = MOST_PLANS, most_steps: int = MOST_STEPS) -> DataFrame:
     """(id, output, removed_items, verification_passed, before, after, error_code, error_detail) of every file.
 
     ``before`` and ``after`` are reports; the latter is of the output, read anew.
     A file that cannot be read, rebuilt within the size limit or (PDF) verified is
-    a row with an error and no output.
+    a row with an error and no output. ``rebuild`` makes a file after its plan.
+
+    Each input is taken apart once and rebuilt once. Plans and reports go to the
+    contents by broadcast while they are at most ``most_plans`` files and
+    ``most_steps`` steps, else both sides are shuffled.
     """
     looked = checkpoint(inspected(files, id_col, content_col))
-    joined = files.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).join(looked.where("error is null").select("id", "format", "plan"), "id")
+    n, steps = looked.agg(F.count("*"), F.sum(F.size("plan"))).first()
+    send = F.broadcast if n <= most_plans and (steps or 0) <= most_steps else lambda rows: rows.hint("merge")
+    plans = looked.where("error is null and format is not null").select("id", "format", "plan")
+    joined = files.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).join(send(plans), "id")
     kind = joined.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,16 +313,17 @@ def sanitize_binary(files: DataFrame, id_col: str = "path", content_col: str = "
                 try:
                     out, error = rebuild(fmt, data, plan), None
                     containers.need(1 <= len(out) <= BINARY_LIMIT, "output size")
-                except (Broken, RecursionError, ValueError, OverflowError, LookupError) as e:
+                except (Broken, RecursionError, ValueError, OverflowError, LookupError, struct.error) as e:
                     out, error = None, str(e)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), pa.array([out], pa.binary()), pa.array([error], pa.string())], names=["id", "output", "failed"])
 
     made = checkpoint(joined.select("id", "format", "content", "plan").mapInArrow(run, f"id {kind}, output binary, failed string"))
     fields = ["format", "mime", "bytes", "sha256", "metadata_count", "c2pa_detected", "findings"]
-    side = lambda r, name, key, *more: r.select(F.col(key).alias("id"), F.when(F.col("error_code").isNull(), F.struct(*fields)).alias(name), *more)
-    before = side(report(files, looked, id_col, content_col), "before", id_col, "error_code", "error_detail")
-    after = side(analyze_binary(made, "id", "output"), "after", "id")
-    out = before.join(made, "id", "left").join(after, "id", "left")
+    side = lambda r, name, *more: r.select("id", F.when(F.col("error_code").isNull() & F.col("sha256").isNotNull(), F.struct(*fields)).alias(name), *more)
+    before = side(report(looked, "id"), "before", "error_code", "error_detail")
+    reports = checkpoint(before.join(side(analyze_binary(made, "id", "output"), "after"), "id", "left"))  # no content in them
+    rest = reports.join(made.select("id"), "id", "left_anti").withColumns({"output": F.lit(None).cast("binary"), "failed": F.lit(None).cast("string")})
+    out = made.join(send(reports), "id").unionByName(rest)
     passed = F.coalesce((F.col("after.metadata_count") == 0) & ~F.col("after.c2pa_detected"), F.lit(False))
     left = F.col("output").isNotNull() & (F.col("before.format") == "pdf") & ~passed
     code = F.coalesce("error_code", F.when(F.col("failed").isNotNull(), "rebuild-failed"), F.when(left, "verification-failed"))
@@ -321,5 +335,5 @@ def sanitize_binary(files: DataFrame, id_col: str = "path", content_col: str = "
 
 
 def batch_status(results: DataFrame) -> DataFrame:
-    """``results`` of ``sanitize_binary`` with ``status``: verified, error, or review."""
-    return results.withColumn("status", F.when(F.col("error_code").isNotNull(), "error").when(F.col("verification_passed"), "verified").otherwise("review"))
+    """``results`` of ``sanitize_binary`` with ``status``: verified, or error, be it that a file failed or that its output did not pass."""
+    return results.withColumn("status", F.when(F.coalesce("verification_passed", F.lit(False)), "verified").otherwise("error"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import binary, text
+from glyphmill.plans import binary, jobs, text
 
 
 def queries() -> dict[str, text.Query]:
     """Every query by name; each takes (spark, sf_dir)."""
-    return text.QUERIES | binary.QUERIES
+    return text.QUERIES | binary.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same columns and rows."""
-    return text.SQL | binary.SQL
+    return text.SQL | binary.SQL | jobs.SQL

@@ -150,3 +150,109 @@ def test_odd_rows(spark):
     assert got["null"].error_code is None and got["null"].bytes is None and got["null"].metadata_count is None
     assert got["empty"].error_code == "size-limit" and got["text"].error_code == "unknown-format"
     assert binaries.sanitize_binary(spark.createDataFrame([], "path string, content binary")).count() == 0
+
+
+def tampered_container():
+    """A container whose second entry's header is said to lie in the closing comment, too near the end for one."""
+    data = bytearray(synthetic.container([("a", b"x", zipfile.ZIP_STORED), ("b", b"y", zipfile.ZIP_STORED)]))
+    end = data.rfind(b"PK\5\6")
+    data[end + 20 : end + 22] = (8).to_bytes(2, "little")
+    data += b"PK\3\4abcd"
+    second = data.rfind(b"PK\1\2", 0, end)
+    data[second + 42 : second + 46] = (len(data) - 8).to_bytes(4, "little")
+    return bytes(data)
+
+
+def test_a_header_too_near_the_end_is_an_error(spark):
+    data = tampered_container()
+    assert error_of("zip", data) == "entry header"
+    row = binaries.sanitize_binary(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).first()
+    assert row.error_code == "broken-file" and row.error_detail == "entry header"
+
+
+def seconds(run):
+    import time
+
+    return min(_once(run, time.perf_counter) for _ in range(3))
+
+
+def _once(run, clock):
+    began = clock()
+    run()
+    return clock() - began
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: ("svg", b"<svg" + b" " * n + b">"), lambda n: ("svg", b"<svg a='1'" + b" " * n + b"=/>"), lambda n: ("svg", b"<svg" + b" a" * n + b"/>"), lambda n: ("svg", b"<svg a='" + b" " * n),
+    lambda n: ("svg", b"<svg" + b"\n\t" * n + b"/>"), lambda n: ("svg", b"<svg>" + b"<!-" * n), lambda n: ("svg", b"<svg>" + b"<![CDATA[" * n),
+    lambda n: ("pdf", synthetic.build("pdf", 0, TEXT) + b"trailer\n<< /A 1 >>\n" * (n // 16)), lambda n: ("pdf", synthetic.build("pdf", 0, TEXT) + b"trailer\n" * n), lambda n: ("pdf", b"%PDF-1.5\n" + b"1 " * n),
+    lambda n: ("pdf", b"%PDF-1.5\n1 0 obj << /A " + b"(" * n), lambda n: ("pdf", b"%PDF-1.5\n1" + b" " * n + b"0" + b" " * n),
+])
+def test_linear_time(make):
+    """Four times the input takes about four times as long, not sixteen."""
+    small, large = (seconds(lambda f=make(n): binaries.pieces(*f)) for n in (32_000, 128_000))
+    assert large < 9 * max(small, 0.004)
+
+
+def test_blanks_in_office_parts_take_linear_time():
+    def run(n):
+        part = b"<w:d" + b" " * n + b"/>"
+        data = synthetic.container([("[Content_Types].xml", b"<t/>", zipfile.ZIP_DEFLATED), ("word/document.xml", part, zipfile.ZIP_DEFLATED)])
+        return seconds(lambda: binaries.pieces("zip", data))
+
+    assert run(128_000) < 9 * max(run(32_000), 0.004)
+
+
+def test_mutations_rebuild_or_fail_as_rows(spark):
+    """What is read after a mutation is rebuilt, or fails with an error that the job knows."""
+    rng = random.Random(8)
+    rows = [("zip", tampered_container())]
+    for form in synthetic.FORMATS:
+        data = synthetic.build(form, 2, TEXT)
+        for _ in range(12):
+            changed = bytearray(data)
+            for _ in range(rng.randrange(1, 4)):
+                changed[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+            rows.append((form, bytes(changed)))
+    df = spark.createDataFrame([(f"{i}-{f}", bytearray(d)) for i, (f, d) in enumerate(rows)], "path string, content binary").repartition(4)
+    out = binaries.batch_status(binaries.sanitize_binary(df)).collect()
+    assert len(out) == len(rows)
+    assert all((r.output is None) == (r.error_code is not None) and r.status in ("verified", "error") for r in out)
+
+
+def test_a_fault_between_rebuild_and_verification(spark):
+    """A rebuild that leaves everything in place: PDF files have no output then, others have one that did not pass."""
+    rows = [(f, bytearray(synthetic.build(f, 1, TEXT))) for f in ("pdf", "png", "docx")]
+    faulty = binaries.sanitize_binary(spark.createDataFrame(rows, "path string, content binary"), rebuild=lambda fmt, data, plan: data)
+    got = {r.path: r for r in binaries.batch_status(faulty).collect()}
+    assert got["pdf"].error_code == "verification-failed" and got["pdf"].output is None and got["pdf"].after is None and got["pdf"].removed_items is None
+    for form in ("png", "docx"):
+        assert got[form].error_code is None and not got[form].verification_passed and got[form].after.metadata_count > 0
+    assert {r.status for r in got.values()} == {"error"}
+
+
+def test_a_rebuild_that_fails_or_grows_is_an_error(spark):
+    def broken(fmt, data, plan):
+        if fmt == "png":
+            raise ValueError("no space")
+        return b"" if fmt == "pdf" else bytes(33 * 1024 * 1024)
+
+    rows = [(f, bytearray(synthetic.build(f, 1, TEXT))) for f in ("pdf", "png", "webp")]
+    got = {r.path: r for r in binaries.sanitize_binary(spark.createDataFrame(rows, "path string, content binary"), rebuild=broken).collect()}
+    assert {r.error_code for r in got.values()} == {"rebuild-failed"} and got["png"].error_detail == "no space" and all(r.output is None for r in got.values())
+
+
+def test_no_content_is_shuffled_while_plans_are_few(spark, capsys):
+    rows = [(f"{f}-{v}", bytearray(synthetic.build(f, v, TEXT))) for f in synthetic.FORMATS for v in range(4)] + [("null", None), ("empty", bytearray())]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    few = binaries.sanitize_binary(df)
+    few.explain("formatted")
+    plan = capsys.readouterr().out
+    import re
+
+    for block in re.findall(r"\(\d+\) (?:Exchange|BroadcastExchange).*?\n(Input.*?)\n", plan):
+        assert "output" not in block and "content" not in block
+    many = binaries.sanitize_binary(df, most_plans=0)
+    key = lambda r: r.path
+    assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
+    assert few.count() == len(rows)
