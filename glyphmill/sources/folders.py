@@ -71,12 +71,13 @@ def admits(f: Filter, row: dict) -> bool | None:
 
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
+        options = {k.lower(): v for k, v in options.items()}  # Spark's options know no case
         self.root = options["path"]
         self.limit = int(options.get("limit", 1 << 62))
-        self.too_large, self.empty = options.get("tooLarge", "size-limit"), options.get("empty", "size-limit")
+        self.too_large, self.empty = options.get("toolarge", "size-limit"), options.get("empty", "size-limit")
         self.recursive = options.get("recursive", "true") == "true"
         self.extensions = {e for e in options.get("extensions", "").split(",") if e}
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.partition_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
