@@ -5,15 +5,16 @@ blocks of two words says how far the search may jump: blocks of no pattern let
 it skip almost a whole window. Where the shift is nought, the hashes of the
 window's last and first block pick the patterns that end there, and comparing the
 words decides. Windows of one length share a table; so the few short items do not
-shorten the jumps of others. Tables are made once, as arrays that hold hashes and
-places of words, and sent to the tasks.
+shorten the jumps of others. Equal windows are one pattern, with a list of the items
+that have it. Tables are made once, as arrays that hold hashes and places of words,
+and sent to the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -61,12 +62,18 @@ def all_mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Shift and bucket tables for the patterns of one length, which begin at ``starts`` in the list of hashed words."""
+    """Shift and bucket tables for the distinct patterns of one length.
 
-    def __init__(self, length: int, starts: np.ndarray, hashes: np.ndarray) -> None:
+    ``starts`` are the places of their first words in the list of hashed words. Equal
+    windows are one pattern, with a list of the items that have it: ``posted`` holds
+    these lists, one after another, and ``lists`` where each begins.
+    """
+
+    def __init__(self, length: int, starts: np.ndarray, hashes: np.ndarray, of: np.ndarray) -> None:
         self.length, self.block = length, min(2, length)
         self.jump = length - self.block + 1
         block = lambda at: all_mixed(hashes[at - 1] if self.block == 2 else np.zeros(len(at), np.uint64), hashes[at])
+        starts, self.lists, self.posted = distinct(starts, length, hashes, of)
         bits = min(MOST_SHIFT_BITS, max(8, (8 * len(starts)).bit_length()))
         self.down = 64 - bits
         shift = np.full(1 << bits, self.jump, np.uint8)
@@ -74,15 +81,39 @@ class Table:
             np.minimum.at(shift, (block(starts + end - 1) >> np.uint64(self.down)).astype(np.int64), length - end)
         self.shift = shift.tobytes()
         keys = all_mixed(block(starts + length - 1), block(starts + self.block - 1))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.starts = keys[order], starts[order]
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = keys[self.order], starts[self.order]
+
+
+def distinct(starts: np.ndarray, length: int, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct window, where its list of items begins (one more at the end), and the lists.
+
+    Windows are told apart by two hashes of all their words, 128 bits together; both
+    are rolled over the words, so long windows cost as much as short ones.
+    """
+    prints = []
+    for factor in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(length):
+            out = out * factor + hashes[starts + k]
+            out ^= out >> np.uint64(31)
+        prints.append(out)
+    owner = of[starts]
+    order = np.lexsort((owner, *prints))
+    prints = [p[order] for p in prints]
+    new = np.concatenate([[True], (prints[0][1:] != prints[0][:-1]) | (prints[1][1:] != prints[1][:-1])])
+    owner = owner[order]
+    first_of_item = new | np.concatenate([[True], owner[1:] != owner[:-1]])
+    group = np.cumsum(new) - 1
+    lists = np.concatenate([[0], np.cumsum(np.bincount(group[first_of_item], minlength=int(new.sum())))])
+    return starts[order][new], lists, owner[first_of_item]
 
 
 class Searcher:
     """The words of a block of benchmark items, and the tables of their windows."""
 
     def __init__(self, items: list[tuple[int | str, str]], window: int) -> None:
-        hashes, sizes, self.items, of = Hashes(), [], [], []
+        hashes, self.items, of = Hashes(), [], []
         starts: dict[int, list[int]] = {}
         words: list[str] = []
         for item, text in items:
@@ -96,13 +127,35 @@ class Searcher:
         encoded = [w.encode() for w in words]
         self.text = b" ".join(encoded)
         self.places = np.fromiter(accumulate((len(w) + 1 for w in encoded), initial=0), np.int64, len(words) + 1)
-        self.of = np.array(of, np.int32)
         own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        self.tables = [Table(n, np.array(at, np.int64), own) for n, at in sorted(starts.items())]
+        self.tables = [Table(n, np.array(at, np.int64), own, np.array(of, np.int32)) for n, at in sorted(starts.items())]
+
+    def search(self, words: list[str], hashes: Hashes) -> tuple[list[tuple[int, int]], set]:
+        """Merged (start, end) runs of hit words, end exclusive, and the items hit.
 
-    def occurrences(self, table: Table, words: list[str], hashes: Hashes) -> list[tuple[int, int]]:
-        """(start, place of the pattern's first word) of every occurrence of a table's patterns."""
-        found = []
+        Runs grow as occurrences come, and a pattern's list of items counts once for
+        a text, so neither memory nor time grows with occurrences times items.
+        """
+        runs: list[tuple[int, int]] = []
+        items: set = set()
+        for table in self.tables:
+            own: list[list[int]] = []
+            patterns: set[int] = set()
+            for start, pattern in self.occurrences(table, words, hashes):
+                if own and start <= own[-1][1]:
+                    own[-1][1] = start + table.length
+                else:
+                    own.append([start, start + table.length])
+                patterns.add(pattern)
+            runs += map(tuple, own)
+            told: set[int] = set()
+            for p in patterns:
+                told.update(table.posted[table.lists[p] : table.lists[p + 1]].tolist())
+            items.update(self.items[k] for k in told)
+        return merged(runs), items
+
+    def occurrences(self, table: Table, words: list[str], hashes: Hashes) -> Iterator[tuple[int, int]]:
+        """(start, pattern) of every place where a pattern of a table occurs, by start; one comparison a place and pattern of its bucket."""
         length, shift, down, pairs = table.length, table.shift, table.down, table.block == 2
         at, last = length - 1, len(words)
         while at < last:
@@ -120,20 +173,10 @@ class Searcher:
                 place = int(table.starts[bucket])
                 own = own or " ".join(words[start : at + 1]).encode()
                 if self.text[self.places[place] : self.places[place + length] - 1] == own:
-                    found.append((start, place))
+                    yield start, int(table.order[bucket])
+                    break  # patterns are distinct
                 bucket += 1
             at += 1
-        return found
-
-    def search(self, words: list[str], hashes: Hashes) -> tuple[list[tuple[int, int]], set]:
-        """Merged (start, end) runs of hit words, end exclusive, and the items hit."""
-        runs: list[tuple[int, int]] = []
-        items = set()
-        for table in self.tables:
-            for start, place in self.occurrences(table, words, hashes):
-                runs.append((start, start + table.length))
-                items.add(self.items[self.of[place]])
-        return merged(runs), items
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -82,3 +82,45 @@ def test_odd_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.judge(decontam.find(helpers.odd_docs(spark), none)).where("contaminated").count() == 0
     assert decontam.find(helpers.empty_docs(spark), items).count() == 0
+
+
+def peak_of(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        began = time.process_time()
+        out = run()
+        return out, time.process_time() - began, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_words_take_linear_time_and_memory():
+    """An item and a document of n equal words: one pattern, n places."""
+    took = {}
+    for n in (2_000, 8_000, 20_000):
+        (runs, ids), seconds, mb = peak_of(lambda n=n: decontam.Searcher([(7, "word " * n)], 13).search(["word"] * n, decontam.Hashes()))
+        assert runs == [(0, n)] and ids == {7} and mb < 100
+        took[n] = seconds
+    assert took[8_000] < 10 * max(took[2_000], 0.02) and took[20_000] < 6 * max(took[8_000], 0.05)
+
+
+def test_a_passage_that_many_items_share():
+    """Posting lists count once for a text, whatever the occurrences."""
+    rng = random.Random(8)
+    passage = helpers.words(rng, 13)
+    items = [(k, " ".join([*helpers.words(rng, 3), *passage, *helpers.words(rng, 3)])) for k in range(4_000)]
+    searcher = decontam.Searcher(items, 13)
+    text = [w for _ in range(200) for w in [*passage, "between", "them"]]
+    (runs, ids), seconds, mb = peak_of(lambda: searcher.search(text, decontam.Hashes()))
+    assert len(ids) == 4_000 and runs == [(15 * k, 15 * k + 13) for k in range(200)] and seconds < 1 and mb < 50
+
+
+def test_periodic_texts_against_brute_force(spark):
+    rng = random.Random(10)
+    few = lambda n, k: " ".join(rng.choice("abc"[:k]) for _ in range(n))
+    items = [(k, few(rng.randrange(1, 40), 1 + k % 3)) for k in range(25)] + [(99, "a " * 60), (98, "a " * 13), (97, "a b " * 20)]
+    docs = [(i, few(rng.randrange(60), 1 + i % 3)) for i in range(40)] + [(50, "a " * 300), (51, "b a " * 100)]
+    got = decontam.judge(decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=500))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()), key=repr) == brute(docs, items)
