@@ -53,12 +53,20 @@ SAME_CLOSES = frozenset("p li dt dd tr td th option".split())
 # Elements, roles and words of classes and ids that are no article.
 ASIDE_TAGS = frozenset("head nav footer aside form noscript template iframe object svg button select option dialog menu canvas audio video".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside"
-    " cookie cookies consent notice popup modal newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies widget pagination pager".split()
+# Names that are none wherever they stand, names that are none outside an article's own flow, and words that only say what kind of box a name is on.
+NEVER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent popup modal newsletter"
+    " subscribe comment comments disqus reply replies pagination pager".split()
+)
+OUTSIDE_WORDS = frozenset("promo banner header masthead footer aside notice signup login share sharing social related recommended widget".split())
+BOX_WORDS = frozenset(
+    "site page main top bottom left right global primary secondary box bar list lists area section block blocks slot unit container wrapper wrap inner outer holder panel row col column item items"
+    " link links button buttons icon icons form posts stories".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
-WORD_CUTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+WORD_CUTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+#: How far a block is set aside: not at all, by a name that counts outside the article only, or for good.
+OPEN_BLOCK, BY_NAME, FOR_GOOD = 0, 1, 2
 
 
 @dataclass
@@ -68,7 +76,7 @@ class Block:
     at: int
     text: str
     main: bool
-    aside: bool
+    aside: int
 
 
 @dataclass
@@ -79,7 +87,7 @@ class Element:
     token: int
     path: int
     main: bool
-    aside: bool
+    aside: int
 
 
 @dataclass
@@ -109,17 +117,31 @@ def decoded(text: str) -> str:
     return entities.unescape(NUMBER.sub(short, text)) if "&" in text else text
 
 
-def set_aside(tag: str, marks: list[tuple[str, str]], in_main: bool) -> bool:
-    """Whether an element holds something else than the article."""
+def named_aside(value: str, in_main: bool) -> int:
+    """How far the names in a class or id set an element aside.
+
+    A name counts if it is one of the words, or is made of them and of words for boxes
+    alone: ``ad``, ``ad-box`` and ``cookie-banner`` do, ``ad-hoc``, ``post-header`` and ``notice-of-death`` do not.
+    """
+    out = OPEN_BLOCK
+    for name in value.split():
+        words = {w.lower() for w in WORD_CUTS.split(name) if w}
+        if words <= NEVER_WORDS | OUTSIDE_WORDS | BOX_WORDS:
+            out = max(out, FOR_GOOD if words & NEVER_WORDS else BY_NAME if words & OUTSIDE_WORDS and not in_main else OPEN_BLOCK)
+    return out
+
+
+def set_aside(tag: str, marks: list[tuple[str, str]], in_main: bool) -> int:
+    """How far an element is set aside as something else than the article."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_main):
-        return True
+        return FOR_GOOD
+    out = OPEN_BLOCK
     for name, value in marks:
         if name == "role":
-            if value.lower() in ASIDE_ROLES:
-                return True
-        elif tag not in ("html", "body", *MAIN_TAGS) and any(w.lower() in ASIDE_WORDS for w in WORD_CUTS.split(value)):
-            return True
-    return False
+            out = max(out, FOR_GOOD if value.lower() in ASIDE_ROLES else OPEN_BLOCK)
+        elif tag not in ("html", "body", *MAIN_TAGS):
+            out = max(out, named_aside(value, in_main))
+    return out
 
 
 def parts(page: str) -> Iterator[tuple[str, str, str]]:
@@ -158,14 +180,14 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
 def parse(page: str) -> Page:
     """Tokens and text blocks of a page."""
     out = Page()
-    root = Element("", 0, 0, False, False)
+    root = Element("", 0, 0, False, OPEN_BLOCK)
     stack: list[Element] = [root]
     solid: list[int] = [0]  # places in the stack of what is not inline
     opened: Counter[str] = Counter()
     text: list[str] = []
 
     def flush() -> None:
-        line = " ".join(decoded("".join(text)).split())
+        line = " ".join("".join(map(decoded, text)).split())  # a reference does not go on behind a tag
         text.clear()
         if line:
             top = stack[-1]
@@ -210,7 +232,7 @@ def parse(page: str) -> Page:
             continue
         top = stack[-1]
         marks = [(m[0].lower(), m[1] or m[2] or m[3]) for m in MARKS.findall(attributes)] if attributes else []
-        aside = top.aside or set_aside(tag, marks, top.main)
+        aside = max(top.aside, set_aside(tag, marks, top.main))
         opened[tag] += 1
         if tag in INLINE:
             stack.append(Element(tag, 0, top.path, top.main, aside))
@@ -236,18 +258,18 @@ class Template:
 
 
 def article(page: str, template: Template | None) -> str:
-    """The article's blocks joined by line ends; blocks that are set aside are none of it.
+    """The article's blocks joined by line ends; blocks that are set aside for good are none of it.
 
     With a template: the blocks in the article's slots that the template does not
-    fix. Where these hold at most ``LEAST_OWN`` of the characters there, the host's
+    fix, whatever names that count outside articles only they have. Where these hold at most ``LEAST_OWN`` of the characters there, the host's
     pages are near copies and their template is the article itself: all of them.
     Without one, or on a page without the template's frame: the blocks in article
     or main elements, or all where there are none.
     """
     read = parse(page)
-    open_blocks = [b for b in read.blocks if not b.aside]
+    open_blocks = [b for b in read.blocks if b.aside == OPEN_BLOCK]
     if template is not None and sum(t in template.frame for t in read.tokens) >= LEAST_FRAME * len(template.frame):
-        places = {b.at: b for b in open_blocks}
+        places = {b.at: b for b in read.blocks if b.aside < FOR_GOOD}
         slot, inside = 0, []
         for at, token in enumerate(read.tokens):
             if at in places and template.first <= slot <= template.last:

@@ -147,3 +147,42 @@ def test_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == "" and by[3] == "plain text" and len(by[4]) == 499_999 and by[7] == "q"
     assert html.extract(pages(spark, [])).count() == 0
+
+
+ODD_NAMES = '<article class="{k}"><div class="post-header"><h1>Title {k}</h1></div><p class="notice-of-death">He died {k}</p><div class="ad-hoc">Rules {k}</div><div class="shareholders"><p>Owners {k}</p></div><section id="related_work"><p>Others {k}</p></section><div class="header">Lead {k}</div><div class="ad">Buy {k}</div><div class="comments-list"><p>Nice {k}</p></div><p>Body {k}</p></article>'
+ODD_TEXT = "Title {k}\nHe died {k}\nRules {k}\nOwners {k}\nOthers {k}\nLead {k}\nBody {k}"
+
+
+def test_names_inside_an_article_without_a_template(spark):
+    assert text_of(spark, "<body><nav>x</nav>" + ODD_NAMES.format(k="a") + "</body>") == ODD_TEXT.format(k="a")
+
+
+def test_names_inside_an_article_with_a_template(spark):
+    rows = [(i, f"http://example.org/{i}", f"<html><body><nav><a>Home</a></nav>{ODD_NAMES.format(k=f'w{i}')}<footer>End</footer></body></html>") for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == ODD_TEXT.format(k=f"w{i}") for i in range(9))
+
+
+def test_slots_decide_before_names(spark):
+    """Without article elements, an outside name within the template's article is text, and the same name elsewhere is not."""
+    shell = "<html><body><div class='site-header'><span>Site {k}</span></div><section><h2>Title of {k}</h2><p>{body}</p><div class='notice'><p>Notice of {k}</p></div><p>{body}</p></section><div class='social-links'><i>Follow {k}</i></div></body></html>"
+    rows = [(i, f"http://example.org/{i}", shell.format(k=f"w{i}", body=f"long words of w{i} " * 12)) for i in range(8)]
+    got = {r.page_id: r.text.split("\n") for r in html.extract(pages(spark, rows)).collect()}
+    assert all(got[i][0] == f"Title of w{i}" and f"Notice of w{i}" in got[i] and not any("Site" in t or "Follow" in t for t in got[i]) for i in range(8))
+    assert text_of(spark, shell.format(k="x", body="y")) == "Title of x\ny\ny"  # no template: names decide
+
+
+@pytest.mark.parametrize("page, text", [
+    ("a &am<b>p;</b> b", "a &am p; b".replace("m p", "mp")), ("1 &lt<i>x</i>", "1 <x"), ("&#77<b>5;</b>", "M5;"), ("<div class='adHoc'>a</div><div class='adBox'>b</div>", "a"), ("<p class='ad ad-hoc'>x<p id=''>y", "y"),
+])
+def test_references_end_at_tags_and_names_are_whole(page, text):
+    assert html.article(page, None) == " ".join(text.split())
+
+
+@pytest.mark.parametrize("own, wanted", [(24, "both"), (26, "own")])
+def test_both_sides_of_the_share_that_tells_near_copies(spark, own, wanted):
+    """Blocks of 100 characters in all: what pages say themselves has a quarter of them less or more one."""
+    fixed = "f" * (100 - own)
+    rows = [(i, f"http://example.org/{i}", f"<html><body><div><i>s</i></div><article><p>{fixed}</p><p>{str(i) * own}</p></article></body></html>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == (f"{fixed}\n{str(i) * own}" if wanted == "both" else str(i) * own) for i in range(8))
