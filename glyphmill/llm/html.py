@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -117,6 +118,7 @@ def decoded(text: str) -> str:
     return entities.unescape(NUMBER.sub(short, text)) if "&" in text else text
 
 
+@lru_cache(maxsize=4_096)
 def named_aside(value: str, in_main: bool) -> int:
     """How far the names in a class or id set an element aside.
 
@@ -187,7 +189,8 @@ def parse(page: str) -> Page:
     text: list[str] = []
 
     def flush() -> None:
-        line = " ".join("".join(map(decoded, text)).split())  # a reference does not go on behind a tag
+        line = "".join(text)
+        line = " ".join(("".join(map(decoded, text)) if "&" in line else line).split())  # a reference does not go on behind a tag
         text.clear()
         if line:
             top = stack[-1]
