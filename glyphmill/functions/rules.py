@@ -94,18 +94,33 @@ def acted_on(mode: str, kind: str = "") -> str:
 
 
 ALL = char_class()
-# Common characters under no rule, the most common first: Java tests them before a class of dozens of ranges.
-PLAIN = r"\x20-\x7E\n\r\t\x{A1}-\x{AC}\x{AE}-\x{34E}\x{3001}-\x{D7FF}"
+# Characters below 256 under no rule: Java holds such a class as a table of bits.
+PLAIN = r"\x20-\x7E\n\r\t\xA1-\xAC\xAE-\xFF"
 
 
 def fast(char_class: str) -> str:
-    """The same class for Java's matcher, which gives up at once on a plain character."""
-    return f"[[^{PLAIN}]&&{char_class}]"
+    """The same class for Java's matcher, which passes over a plain character by one look at a table before it tries dozens of ranges."""
+    return f"(?![{PLAIN}]){char_class}"
 
 
 ALL_FAST = fast(ALL)
 
 
+#: Ranges of more code points than this are matched by their class and not written out.
+MOST_WRITTEN_OUT = 1_000
+
+
+def written_out(actions: tuple[str, ...]) -> str:
+    """The characters of the rules with one of ``actions``, but for those in long ranges."""
+    return "".join(chr(c) for r in RULES if r.action in actions for a, b in r.ranges if b - a < MOST_WRITTEN_OUT for c in range(a, b + 1))
+
+
+def long_ranges(actions: tuple[str, ...]) -> str:
+    """Class of the long ranges of the rules with one of ``actions``; empty if there are none."""
+    spans = sorted((a, b) for r in RULES if r.action in actions for a, b in r.ranges if b - a >= MOST_WRITTEN_OUT)
+    return "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in spans) + "]" if spans else ""
+
+
 def one_to_one() -> tuple[str, str]:
     """Alphabets of the replacements of one character by one, without spaces: for translate."""
     source, target = "", ""

@@ -13,23 +13,24 @@ SCOPES = {"safe": "deterministic-safe-unicode", "strict": "deterministic-strict-
 VENDOR_STATUS = "not-verifiable-without-vendor-detector"
 
 
-def _replace(text: Column, pattern: str, by: str) -> Column:
-    return F.regexp_replace(text, F.lit(rules.fast(pattern)), F.lit(by))
-
-
 def sanitize(text: Column, mode: str) -> Column:
     """``text`` after the mode's removals and replacements; null stays null.
 
-    The classes are disjoint and what is written is printable ASCII, so the
-    order of the steps does not matter and a second pass changes nothing.
+    One pass translates all characters that go or become another one. The classes
+    are disjoint and what is written is printable ASCII, so the order of the steps
+    does not matter and a second pass changes nothing.
     """
-    out = _replace(text, rules.acted_on(mode, "remove"), "")
+    actions = rules.ACTIONS[rules.check_mode(mode)]
+    removed = tuple(a for a in actions if a.startswith("remove"))
+    source, target = rules.one_to_one() if mode == "maximum" else ("", "")
     if mode != "safe":
-        out = _replace(out, rules.char_class(("normalize_strict",)), " ")
-    if mode == "maximum":
-        source, target = rules.one_to_one()
-        out = F.replace(F.translate(out, source, target), F.lit("…"), F.lit("..."))
-    return out
+        spaces = rules.written_out(("normalize_strict",))
+        source, target = source + spaces, target + " " * len(spaces)
+    # Characters beyond the target's end go.
+    out = F.translate(text, source + rules.written_out(removed), target)
+    if long := rules.long_ranges(removed):
+        out = F.regexp_replace(out, F.lit(rules.fast(long)), F.lit(""))
+    return F.replace(out, F.lit("…"), F.lit("...")) if mode == "maximum" else out
 
 
 def projection(text: Column) -> Column:

@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +110,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posi
 
 def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, codepoint, position): a row for each mark and its place in code points from 0. No shuffle."""
-    @F.pandas_udf("array<struct<codepoint int, position int>>")
+    @F.pandas_udf("array<int>")
     def tell(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"codepoint": ord(m[0]), "position": m.start()} for m in scanner()[0].finditer(t)] for t in texts], dtype=object)
+        return pd.Series([None if t is None else np.fromiter((m.start() for m in scanner()[0].finditer(t)), np.int32) for t in texts], dtype=object)
 
-    hit = docs.where(F.col(text_col).rlike(rules.ALL_FAST)).select(F.col(id_col), tell(F.col(text_col)).alias("_places"))
-    return hit.select(id_col, F.inline("_places"))
+    hit = docs.where(F.col(text_col).rlike(rules.ALL_FAST)).select(F.col(id_col), F.col(text_col).alias("_text"), tell(F.col(text_col)).alias("_places"))
+    # Four bytes a mark in the row; the characters themselves are found again side by side.
+    marks_of = F.regexp_extract_all("_text", F.lit(rules.ALL_FAST), F.lit(0))
+    each = hit.select(id_col, F.inline(F.arrays_zip(marks_of.alias("mark"), F.col("_places").alias("position"))))
+    return each.select(id_col, F.ascii("mark").alias("codepoint"), "position")
 
 
 def ledger(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CHANGES) -> DataFrame:
@@ -160,8 +164,8 @@ def sanitize_text(docs: DataFrame, mode: str, text_col: str = "text", limit: int
 
     Adds error_code, output, mode, removed_count, normalized_count, change_count,
     changes_truncated, verification_passed, canonical_projection_unchanged,
-    verification_scope, probabilistic_watermark_status, status and next_mode; all
-    but the constants are null for a null text or one with an error. The
+    verification_scope, probabilistic_watermark_status, status, next_mode and
+    fully_clean (whether no mark of any mode is left); all but the constants are null for a null text or one with an error. The
     changes themselves are in ``ledger``, findings in ``analyze_text``.
     """
     rules.check_mode(mode)
@@ -177,5 +181,6 @@ def sanitize_text(docs: DataFrame, mode: str, text_col: str = "text", limit: int
         .withColumn("verification_passed", tx.is_clean(output, mode))
         .withColumn("canonical_projection_unchanged", tx.projection(F.col("_text")) == tx.projection(output))
         .withColumn("verification_scope", F.lit(tx.SCOPES[mode])).withColumn("probabilistic_watermark_status", F.lit(tx.VENDOR_STATUS))
-        .withColumn("status", tx.verify_status(output, mode)).withColumn("next_mode", tx.next_mode(output, mode)).drop("_text")
+        .withColumn("status", tx.verify_status(output, mode)).withColumn("next_mode", tx.next_mode(output, mode))
+        .withColumn("fully_clean", F.col("verification_passed") & ~output.rlike(rules.ALL_FAST)).drop("_text")
     )

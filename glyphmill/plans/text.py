@@ -147,9 +147,19 @@ def q_analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {RULES_SQL} select rule_no, lo, hi, name, category, severity, action, replacement from rules")
+@query(
+    f"with {DOCS}, {RULES_SQL}, {CHARS}, {MARKS}, used as (select rule_no, lo, count(*) as marks, count(distinct doc_id) as texts from marks group by rule_no, lo)"
+    " select rule_no, lo, hi, name, category, severity, action, replacement, coalesce(marks, 0) as marks, coalesce(texts, 0) as texts from rules left join used using (rule_no, lo)"
+)
 def q_rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.relation(spark)
+    """The whole rule table, with the marks of the corpus under each range and the texts that have one; unused ranges have nought."""
+    catalog = rules.relation(spark)
+    spans = F.broadcast(catalog.select("rule_no", "lo", "hi"))  # 47 rows
+    each = findings.marks(docs(spark, sf_dir)).groupBy("doc_id", "rule_no", "codepoint").agg(F.count("*").alias("n"))
+    placed = each.join(spans, "rule_no").where(F.col("codepoint").between(F.col("lo"), F.col("hi"))).groupBy("doc_id", "rule_no", "lo").agg(F.sum("n").alias("n"))
+    used = placed.groupBy("rule_no", "lo").agg(F.sum("n").alias("marks"), F.count("*").alias("texts"))
+    none = F.lit(0).cast("long")
+    return catalog.join(used, ["rule_no", "lo"], "left").withColumns({"marks": F.coalesce("marks", none), "texts": F.coalesce("texts", none)})
 
 
 @query(f"with {DOCS}, {RULES_SQL}, {CHARS}, {MARKS} select rule_no, name, cp as codepoint, count(*) as n, count(distinct doc_id) as texts from marks group by all")
@@ -226,7 +236,8 @@ def q_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for m in rules.MODES:
         text = F.col(f"once.{m}")
-        out += [(text == tx.sanitize(text, m)).alias(f"idempotent_{m}"), (tx.removed_count(text, m) + tx.normalized_count(text, m)).alias(f"left_{m}")]
+        left = F.regexp_count(text, F.lit(rules.fast(rules.acted_on(m)))).cast("long")  # removals and replacements in one scan
+        out += [(text == tx.sanitize(text, m)).alias(f"idempotent_{m}"), left.alias(f"left_{m}")]
     return once.select("doc_id", *out)
 
 
@@ -244,7 +255,7 @@ def q_required_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_verify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the strict mode leaves to be said and done."""
     out = findings.sanitize_text(docs(spark, sf_dir), "strict")
-    return out.select("doc_id", "status", "next_mode", (F.col("verification_passed") & (tx.finding_count(F.col("output")) == 0)).alias("fully_clean"), "verification_scope")
+    return out.select("doc_id", "status", "next_mode", "fully_clean", "verification_scope")
 
 
 @query(f"with {DOCS} select doc_id, lang, source from docs where not {sql_has('mt', rules.ALL)}")
