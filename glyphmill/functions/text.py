@@ -74,8 +74,8 @@ def required_mode(text: Column) -> Column:
 
 
 def verify_status(output: Column, mode: str) -> Column:
-    """``CLEAN`` without any mark, ``POLICY ONLY`` if only the mode's own are gone, else ``REVIEW``."""
-    return F.when(~is_clean(output, mode), "REVIEW").when(output.rlike(rules.ALL_FAST), "POLICY ONLY").otherwise("CLEAN")
+    """``CLEAN`` without any mark, ``POLICY ONLY`` if only the mode's own are gone, else ``REVIEW``; null for a null text."""
+    return F.when(~is_clean(output, mode), "REVIEW").when(output.rlike(rules.ALL_FAST), "POLICY ONLY").when(output.isNotNull(), "CLEAN")
 
 
 def next_mode(output: Column, mode: str) -> Column:
