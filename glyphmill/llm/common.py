@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,16 +51,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables made within each scratch that is open, the innermost last.
+OPEN: list[list[Tables]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Clears at its end, be it by an error, all tables that operators made within it: for results that are stored elsewhere by then."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for tables in OPEN.pop():
+            tables.clear()
+
+
 class Tables:
     """Parquet tables in a folder of their own below ``shared_folder``.
 
     A table that is written and read again has no lineage, and unlike a
     checkpoint none of the optimizer's constraints on what it was made from, which
-    multiply in long loops. ``clear`` removes the folder once nothing is read from it.
+    multiply in long loops. ``clear`` removes the folder once nothing is read from it;
+    the end of a ``scratch`` does so for all that was made within it, but those that are ``kept``.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, kept: bool = False) -> None:
         self.spark = spark
+        if OPEN and not kept:
+            OPEN[-1].append(self)
         self.folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
         self.names: list[str] = []

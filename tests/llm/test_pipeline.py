@@ -8,7 +8,7 @@ from test_decontam import brute as contamination
 from test_jaccard import brute as components
 
 import corpus_pipeline
-from glyphmill.llm import bpe, toxicity
+from glyphmill.llm import bpe, jaccard, toxicity
 
 NAMES = [n for n, _ in corpus_pipeline.STAGES]
 STAGE = dict(corpus_pipeline.STAGES)
@@ -91,3 +91,23 @@ def test_the_whole_run(spark):
     assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows)
     assert all(r.n_tokens == len(r.ids) for r in rows)
     assert bpe.decode(out).where(F.col("decoded").rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]")).count() == 0
+
+
+def test_tables_go_when_their_stage_is_over(spark, monkeypatch):
+    """Of all that the stages write, the last stage's input stays; where a stage fails, so does what it read."""
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/tables-*"))
+    out = corpus_pipeline.run(spark, oracle.SMALL)
+    left = set(glob.glob(f"{folder}/tables-*")) - before
+    assert len(left) == 1 and out.count() > 0
+
+    def fails(*_):
+        jaccard.Tables(spark).cut(spark.range(3))
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("fails", fails), ("never", fails)])
+    with pytest.raises(RuntimeError, match="stage"):
+        corpus_pipeline.run(spark, oracle.SMALL)
+    assert len(set(glob.glob(f"{folder}/tables-*")) - before - left) == 1
