@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, decontam, jaccard, pii, toxicity
-from glyphmill.llm.common import checkpoint, position, read, written
+from glyphmill.llm.common import Tables, checkpoint, position, read, scratch
 from glyphmill.llm.jaccard import MOST_SENT
 
 
@@ -44,7 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again; while these ids are at most ``MOST_SENT`` they are broadcast, and no text is shuffled.
     """
     own = plain(docs)
-    groups = checkpoint(jaccard.join(own).where("doc_id is not null and n_shingles > 0").select("key", "doc_id", "component_id"))
+    groups = jaccard.join(own).where("doc_id is not null and n_shingles > 0").select("key", "doc_id", "component_id")
     rows = groups.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
     seen = checkpoint(rows.where("n > 1 or doc_id <> least").select("key", "doc_id", (F.col("doc_id") == F.col("least")).alias("_stays")))
     ids = checkpoint(seen.select("doc_id").distinct())
@@ -106,10 +106,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what a stage returns is written before the next one reads it."""
-    docs = read(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    """The stages over documents; what a stage returns is written before the next one reads it.
+
+    Tables that a stage needed go once its rows are written, also where it fails, and
+    so do a stage's rows once the next one's are. The input of the last stage stays in
+    the shared folder, as the result reads it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        own = Tables(spark, kept=True)
+        with scratch():
+            docs = own.cut(stage(spark, docs, sf_dir))
+        if before:
+            before.clear()
+        before = own
+    return STAGES[-1][1](spark, docs, sf_dir)
