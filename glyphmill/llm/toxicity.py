@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import append, checkpoint, labelled_sample, texts_of
+from glyphmill.llm.common import append, checkpoint, labelled_sample, map_batches, texts_of
 
 SAMPLE = 20_000
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -30,6 +30,8 @@ LEAST_SUPPORT = 5
 LEAST_WEIGHT = 2.5
 CACHED_WORDS = 50_000
 MOST_COUNTED = 100_000
+MOST_ENTRIES = 100_000
+MOST_PHRASES = 100_000
 
 # Insults that count before anything is learned, and their weight.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -146,16 +148,16 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
 
 def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE,
-    id_col: str = "doc_id", text_col: str = "text", most_entries: int | None = None, most_phrases: int | None = None,
+    id_col: str = "doc_id", text_col: str = "text", most_entries: int = MOST_ENTRIES, most_phrases: int = MOST_PHRASES,
 ) -> Model:
     """Lexicon, exception phrases and fit from at most ``sample`` labelled rows outside the held-out fold.
 
     Two thirds of the sample weigh the entries, one third fits the chances.
-    All entries and phrases with the support and weight asked for count, unless
-    ``most_entries`` or ``most_phrases`` bound them; ``sample`` bounds both, since each
-    entry needs ``LEAST_SUPPORT`` of its texts and each phrase three. Documents
-    that repeat an id count once, with their least text. Without labels: the seed
-    words and a fixed curve.
+    Entries need ``LEAST_SUPPORT`` of its texts, phrases three. The model, which comes
+    to the driver, holds ``most_entries`` of most weight times support and ``most_phrases`` of
+    most support at most. Texts are counted in slices of bounded size, whatever their
+    length. Documents that repeat an id count once, with their least text; null
+    texts have no words. Without labels: the seed words and a fixed curve.
     """
     rows = checkpoint(
         labelled_sample(docs, labels, label, folds, held, sample, id_col, text_col)
@@ -189,10 +191,10 @@ def learn(
     learning = rows.where("not fit").select("text", "label")
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     found = (
-        learning.mapInArrow(count(words), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        map_batches(learning, count(words), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .where(F.col("bad") >= LEAST_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
     )
-    found = found if most_entries is None else found.orderBy((F.col("weight") * F.col("bad")).desc(), "entry").limit(most_entries)
+    found = found.orderBy((F.col("weight") * F.col("bad")).desc(), "entry").limit(most_entries)
     entries = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS} | {r.entry: float(r.weight) for r in found.collect()}
     whole = {e.strip() for e in entries if e.endswith(" ")}
 
@@ -206,10 +208,10 @@ def learn(
         return work
 
     neutral = (
-        learning.mapInArrow(count(pairs), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        map_batches(learning, count(pairs), "entry string, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .where("good >= 3 and bad = 0")
     )
-    neutral = neutral if most_phrases is None else neutral.orderBy(F.col("good").desc(), "entry").limit(most_phrases)
+    neutral = neutral.orderBy(F.col("good").desc(), "entry").limit(most_phrases)
     phrases = sorted({*SEED_PHRASES, *(r.entry for r in neutral.collect())})
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:

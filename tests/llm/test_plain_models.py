@@ -47,6 +47,20 @@ def test_a_learned_lexicon_against_the_same_scan(spark):
         assert abs(matcher.load(r.text) - plain_load(r.text, entries, phrases)) < 1e-9
 
 
+def test_what_a_model_holds_is_bounded_and_long_texts_count_like_short_ones(spark):
+    rows = [(i, f"vile{i % 3} word " * (1 + 9_000 * (i % 2)), i % 2) for i in range(40)] + [(100 + i, f"fine word{i % 5} idiot savant", 0) for i in range(20)]
+    rows += [(200, None, 1), (201, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, sample=1_000)
+    short = docs.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
+    same = toxicity.learn(short, labels, sample=1_000)
+    assert model.entries == same.entries and model.phrases == same.phrases
+    assert "idiot savant" in model.phrases
+    few = toxicity.learn(docs, labels, sample=1_000, most_entries=1, most_phrases=1)
+    assert len(few.entries) <= len(toxicity.SEED_WORDS) + 1 and len(few.phrases) <= len(toxicity.SEED_PHRASES) + 1
+
+
 def plain_slots(text, bits):
     """Slots by whole-number arithmetic, one n-gram after another."""
     words = re.findall(r"[^\W_]+|[^\w\s]+|_+", text.lower())
