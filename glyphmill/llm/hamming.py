@@ -26,6 +26,7 @@ MOST_HIGH_BITS = 12
 BUCKET_ROWS = 262_144
 MOST_BUCKETS = 20_000
 MOST_PAIRS = 1 << 20
+MOST_QUERIES = 200_000
 
 
 def masks(r: int, bits: int = SEGMENT) -> np.ndarray:
@@ -67,7 +68,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     Codes that repeat are searched once, with their k least ids; so do queries. The
     index is dealt out in blocks of about ``BLOCK_CODES`` codes, large buckets in several,
     and each block answers with k rows for a query at most. It is shuffled once, into a
-    bucketed table in the shared folder, to which each radius sends its queries.
+    bucketed table in the shared folder, to which each radius sends its queries. A query
+    asks a block once, so while there are ``MOST_QUERIES`` or fewer no block has more; beyond
+    that, blocks that are asked by more answer lots of so many, each with a copy of the block.
+    The table goes at the end, also after an error.
     """
     codes, queries = (pick(x, vec_id="vec_id", code="code").where("vec_id is not null and code is not null") for x in (codes, queries))
     rank = Window.partitionBy("code").orderBy("vec_id")
@@ -85,32 +89,51 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     dealt = parts.join(sizes, ["seg", "top"]).select(F.col("seg").alias("i_seg"), F.col("top").alias("i_top"), F.pmod(F.xxhash64("code"), "cuts").alias("i_cut"), F.col("code").alias("entry"), "ids")
     own = Tables(codes.sparkSession)
     buckets = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, total * segments // BUCKET_ROWS))
-    dealt = own.bucketed(dealt, ["i_seg", "i_top", "i_cut"], buckets)
-
-    asked = checkpoint(queries.select("code").distinct())
-    best = asked.select("code", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("vec_id")).limit(0)
-    active = asked.withColumn("worst", F.lit(1 << 30))
-    r = 0
-    while r <= SEGMENT and not active.isEmpty():
-        flips = [(i, bin(i).count("1")) for i in range(1 << high) if bin(i).count("1") <= r]
-        near = F.array(*[F.struct(F.lit(a).alias("flip"), F.lit(b).alias("used")) for a, b in flips])
-        probes = active.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), segment(i).alias("value")) for i in range(segments)])))
-        probes = probes.withColumn("f", F.explode(near)).select("code", "worst", "s.seg", F.shiftright("s.value", low).bitwiseXOR(F.col("f.flip")).alias("top"))
-        probes = probes.join(sizes, ["seg", "top"]).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("seg", "top", "cut", "code", "worst")
-        found = probes.groupBy("seg", "top", "cut").cogroup(dealt.groupBy("i_seg", "i_top", "i_cut")).applyInPandas(matcher(r, k), "code binary, distance int, vec_id long")
-        ranked = best.union(found).withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))).where(F.col("n") <= k)
-        best = checkpoint(ranked.drop("n"))
-        covered = segments * (r + 1) - 1
-        state = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
-        active = asked.join(state, "code", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("worst") > covered))
-        active = checkpoint(active.select("code", F.when(F.coalesce("n", F.lit(0)) < k, 1 << 30).otherwise(F.col("worst")).alias("worst")))
-        r += 1
-    own.clear()
+    try:
+        dealt = own.bucketed(dealt, ["i_seg", "i_top", "i_cut"], buckets)
+        asked = checkpoint(queries.select("code").distinct())
+        best = asked.select("code", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("vec_id")).limit(0)
+        active = asked.withColumn("worst", F.lit(1 << 30))
+        r = 0
+        while r <= SEGMENT and (left := active.count()):
+            flips = [(i, bin(i).count("1")) for i in range(1 << high) if bin(i).count("1") <= r]
+            near = F.array(*[F.struct(F.lit(a).alias("flip"), F.lit(b).alias("used")) for a, b in flips])
+            probes = active.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), segment(i).alias("value")) for i in range(segments)])))
+            probes = probes.withColumn("f", F.explode(near)).select("code", "worst", "s.seg", F.shiftright("s.value", low).bitwiseXOR(F.col("f.flip")).alias("top"))
+            probes = probes.join(sizes, ["seg", "top"]).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("seg", "top", "cut", "code", "worst")
+            ranked = best.union(answers(probes, dealt, r, k, left)).withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))).where(F.col("n") <= k)
+            best = checkpoint(ranked.drop("n"))
+            covered = segments * (r + 1) - 1
+            state = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+            active = asked.join(state, "code", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("worst") > covered))
+            active = checkpoint(active.select("code", F.when(F.coalesce("n", F.lit(0)) < k, 1 << 30).otherwise(F.col("worst")).alias("worst")))
+            r += 1
+    finally:
+        own.clear()
     out = queries.select(F.col("vec_id").alias("query_id"), "code").distinct().join(best, "code")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "vec_id")))
     return ranked.select("query_id", "rank", "vec_id", "distance")
 
 
+def answers(probes: DataFrame, dealt: DataFrame, r: int, k: int, left: int) -> DataFrame:
+    """(code, distance, vec_id) that the blocks answer to ``probes`` of ``left`` queries; groups hold ``MOST_QUERIES`` of them or about so many.
+
+    Only blocks that are asked by more are shuffled again; how many segments and
+    leading bits there are bounds their list, which is broadcast.
+    """
+    schema = "code binary, distance int, vec_id long"
+    index, keys = ["i_seg", "i_top", "i_cut"], ["seg", "top", "cut"]
+    if left <= MOST_QUERIES:
+        return probes.groupBy(*keys).cogroup(dealt.groupBy(*index)).applyInPandas(matcher(r, k), schema)
+    asked = probes.where("cut = 0").groupBy("seg", "top").agg(F.ceil(F.count("*") / MOST_QUERIES).alias("lots")).where("lots > 1")
+    hot = F.broadcast(checkpoint(asked))
+    few = probes.join(hot, ["seg", "top"], "left_anti").groupBy(*keys).cogroup(dealt.groupBy(*index)).applyInPandas(matcher(r, k), schema)
+    many = probes.join(hot, ["seg", "top"]).withColumn("lot", F.pmod(F.xxhash64("code"), "lots"))
+    blocks = dealt.join(hot.toDF("i_seg", "i_top", "lots"), ["i_seg", "i_top"]).withColumn("i_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+    more = many.groupBy(*keys, "lot").cogroup(blocks.groupBy(*index, "i_lot")).applyInPandas(matcher(r, k), schema)
+    return few.union(more)
+
+
 def matcher(r: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Finds, within one block of a segment, the codes that this radius adds, and verifies them.
 

@@ -42,6 +42,44 @@ def test_few_pairs_at_a_time_and_rows_of_any_columns(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if not t.isTemporary]
 
 
+def test_lots_of_queries_of_a_block_that_many_ask(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK_CODES", 16)
+    rng = random.Random(12)
+    rows = [(i, bytes([7, 7]) + rng.randbytes(2) if i % 3 else rng.randbytes(4)) for i in range(240)]
+    codes = spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "vec_id long, code binary")
+    asked = codes.where("vec_id % 2 = 0")
+    whole = {tuple(r) for r in hamming.search(codes, asked, 5, 2).collect()}
+    seen, answers = [], hamming.answers
+
+    def watched(probes, dealt, r, k, left):
+        seen.append(left)
+        return answers(probes, dealt, r, k, left)
+
+    monkeypatch.setattr(hamming, "answers", watched)
+    monkeypatch.setattr(hamming, "MOST_QUERIES", 9)
+    got = {tuple(r) for r in hamming.search(codes, asked, 5, 2).collect()}
+    assert max(seen) == 120 and got == whole == brute(rows, [r for r in rows if r[0] % 2 == 0], 5)
+
+
+def test_tables_go_after_an_error(spark, monkeypatch):
+    made = []
+
+    class Watched(Tables):
+        def clear(self):
+            made.append(self.folder)
+            super().clear()
+
+    def fails(*_):
+        raise RuntimeError("stop")
+
+    monkeypatch.setattr(hamming, "Tables", Watched)
+    monkeypatch.setattr(hamming, "answers", fails)
+    codes = spark.createDataFrame([(1, bytearray(b"ab")), (2, bytearray(b"cd"))], "vec_id long, code binary")
+    with pytest.raises(RuntimeError, match="stop"):
+        hamming.search(codes, codes, 1, 1)
+    assert len(made) == 1 and not [t for t in spark.catalog.listTables() if not t.isTemporary]
+
+
 def test_joins_with_a_bucketed_table_do_not_shuffle_it(spark):
     tables = Tables(spark)
     index = tables.bucketed(spark.range(1000).selectExpr("id % 7 as k", "id"), ["k"], 16)
