@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone in their strict forms) always count. Further
 candidates, in looser forms or in the strict form without passing its check
 (numbers of a card's length, four-part numbers, digits behind a plus), are judged: labelers for form, checksum, gazetteer,
 context and surroundings each vote for, against or not at all. Expectation-
-maximisation over the counts of vote patterns estimates how reliable each labeler
+maximisation over the counts of vote patterns, with base spans as known cases, estimates how reliable each labeler
 is for each kind; its posteriors are the targets of a logistic classifier over the
 spans' features, and that decides.
 """
@@ -27,7 +27,10 @@ from glyphmill.llm.common import append, map_batches, pick, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "id", "name")
+VOTERS = 5
 ROUNDS = 50
+STEPS = 60
+RIDGE = 1e-3
 
 Span = tuple[str, int, int]
 
@@ -37,6 +40,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
+LAST = re.compile(r"[A-Za-z0-9-]+(?=[\])]?$)")
 
 LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"),
@@ -67,10 +71,20 @@ IBAN_LANDS = frozenset(
 )
 # Words that speak for or against personal data nearby.
 SPEAKS_FOR = {
-    "email": ("mail", "contact", "write to"), "ip": ("ip", "address", "login from", "host"), "card": ("card", "visa", "payment", "credit"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "account", "bank"), "id": ("ssn", "social", "id"), "name": ("dear", "name", "by"),
+    "email": ("mail", "email", "contact", "write to"), "ip": ("ip", "address", "login from", "host"), "card": ("card", "visa", "payment", "credit"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"), "iban": ("iban", "account", "bank"), "id": ("ssn", "social", "id"), "name": ("dear", "name", "by"),
 }
 SPEAKS_AGAINST = ("version", "isbn", "figure", "page", "order", "invoice", "ref", "build", "chapter", "section")
+NEARBY = 30
+
+
+def any_of(words: Sequence[str]) -> re.Pattern[str]:
+    """Pattern of whole words in either case, with or without an s behind them."""
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, words))})s?(?![^\W\d_])", re.IGNORECASE)
+
+
+FOR = {kind: any_of(words) for kind, words in SPEAKS_FOR.items()}
+AGAINST = any_of(SPEAKS_AGAINST)
 
 
 def luhn(digits: str) -> bool:
@@ -143,7 +157,11 @@ def candidates(text: str) -> tuple[list[Span], list[tuple[Span, int]]]:
 
 
 def features(text: str, span: Span, form: int, lists: Gazetteers = Gazetteers()) -> tuple[str, tuple[int, ...], int]:
-    """Kind, the labelers' votes (form, checksum, gazetteer, context, surroundings) and a length class; ``form`` is 1 for base spans."""
+    """Kind, the labelers' votes (form, checksum, gazetteer, context, surroundings) and a length class; ``form`` is 1 for base spans.
+
+    The checksum's voter looks at digits alone: Luhn, the remainder of an account number, parts of an address, how many a
+    telephone number has. Clean surroundings are no vote, what is glued to a word is one against.
+    """
     kind, a, b = span
     own = text[a:b]
     digits = "".join(DIGITS.findall(own))
@@ -154,21 +172,24 @@ def features(text: str, span: Span, form: int, lists: Gazetteers = Gazetteers())
     elif kind == "iban":
         flat = own.replace(" ", "")
         check = 1 if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else -1
+    elif kind == "ip" and "." in own:
+        check = 1 if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in own.split(".")) else -1
     elif kind in ("phone", "id") and digits:
-        check = -1 if len(set(digits)) == 1 or digits in "01234567890123456789" else 0
+        dull = len(set(digits)) == 1 or digits in "01234567890123456789"
+        check = -1 if dull else 0 if kind == "id" else 1 if 9 <= len(digits) <= 15 else -1
     known = 0
     if kind == "email":
-        known = 1 if own.rsplit(".", 1)[-1].lower() in lists.domains else -1
+        known = 1 if LAST.search(own)[0].lower() in lists.domains else -1
     elif kind == "iban":
         known = 1 if own[:2] in lists.lands else -1
     elif kind == "name":
         known = 1 if {w.lower() for w in own.split()[1:]} & lists.names else 0
     elif kind == "card":
         known = 1 if digits[:1] in ("3", "4", "5", "6") else -1
-    before = text[max(0, a - 30) : a].lower()
-    context = 1 if any(w in before for w in SPEAKS_FOR[kind]) else -1 if any(w in before for w in SPEAKS_AGAINST) else 0
-    around = text[a - 1 : a] + text[b : b + 1]
-    beside = -1 if any(c.isalnum() or c in "_/=|" for c in around) else 1
+    near = max(0, a - NEARBY)
+    context = 1 if FOR[kind].search(text, near, a) else -1 if AGAINST.search(text, near, a) else 0
+    around = text[max(0, a - 1) : a] + text[b : b + 1]
+    beside = -1 if any(c.isalnum() or c in "_/=|" for c in around) else 0
     return kind, (form, check, known, context, beside), min(b - a, 40) // 8
 
 
@@ -176,18 +197,22 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[
     """Posterior of each (kind, votes) by EM for labelers that may abstain.
 
     Every kind has its own prior and accuracies, kept within 0.05 to 0.95 and
-    started at 0.7, so that labelers better than chance are presumed.
+    started at 0.7, so that labelers better than chance are presumed. Base spans are
+    known to be personal data: they tell how reliable labelers are, and the
+    prior is the share among the candidates that are to be judged.
     """
     out = {}
     for kind in sorted({k for k, _, _ in counts}):
         rows = sorted((v, n) for k, v, n in counts if k == kind)
         votes = np.array([v for v, _ in rows], float)
         n = np.array([c for _, c in rows], float)
+        given = (votes[:, 0] > 0) & (kind in BASE)
+        judged = np.where(given, 0, n)
         right, prior = np.full(votes.shape[1], 0.7), 0.5
         for _ in range(ROUNDS):
             odds = np.log(prior / (1 - prior)) + votes @ np.log(right / (1 - right))
-            post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            prior = float(np.clip((post * n).sum() / n.sum(), 0.05, 0.95))
+            post = np.where(given, 1, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+            prior = float(np.clip((post * judged).sum() / max(judged.sum(), 1), 0.05, 0.95))
             agree = np.where(votes > 0, post[:, None], np.where(votes < 0, 1 - post[:, None], 0)) * n[:, None]
             cast = np.abs(votes) * n[:, None]
             right = np.clip((agree.sum(0) + 7) / (cast.sum(0) + 10), 0.05, 0.95)
@@ -196,20 +221,50 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[
 
 
 def design(kind: str, votes: tuple[int, ...], length: int) -> np.ndarray:
-    """One-hot features of a span: kind, each vote within its kind or at all, and length."""
-    x = np.zeros(len(KINDS) * 6 + len(votes) * 3 + 1)
+    """One-hot features of a span, all within its kind: each vote and the length class; and a constant."""
+    each = 6 + 3 * len(votes)
+    x = np.zeros(len(KINDS) * each + 1)
     x[-1] = 1
-    x[KINDS.index(kind) * 6 + min(length, 5)] = 1
+    at = KINDS.index(kind) * each
+    x[at + min(length, 5)] = 1
     for i, v in enumerate(votes):
-        x[len(KINDS) * 6 + i * 3 + v + 1] = 1
+        x[at + 6 + i * 3 + v + 1] = 1
     return x
 
 
+def fit(rows: Sequence[tuple[str, tuple[int, ...], int, int]], chance: dict[tuple[str, tuple[int, ...]], float]) -> np.ndarray:
+    """Weights of the logistic classifier for (kind, votes, length, number), whose targets are the chances of (kind, votes).
+
+    A pattern weighs as the logarithm of its number, and each kind as much as
+    the next, so that what is rare is not drowned by what is common.
+    """
+    weights = np.zeros(len(design(KINDS[0], (0,) * VOTERS, 0)))
+    if rows:
+        x = np.array([design(k, v, length) for k, v, length, _ in rows])
+        y = np.array([chance[k, v] for k, v, _, _ in rows])
+        n = weigh(rows)
+        for _ in range(STEPS):  # Newton steps with a ridge
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            slope = x.T @ (n * (p - y)) + RIDGE * weights
+            weights -= np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + RIDGE * np.eye(len(weights)), slope)
+    return weights
+
+
+def weigh(rows: Sequence[tuple[str, tuple[int, ...], int, int]]) -> np.ndarray:
+    """Shares of the patterns in the fit; one in all."""
+    size = np.log2([1 + n for _, _, _, n in rows])
+    total: Counter = Counter()
+    for (kind, *_), s in zip(rows, size):
+        total[kind] += s
+    return np.array([s / total[kind] / len(total) for (kind, *_), s in zip(rows, size)])
+
+
 def learn(docs: DataFrame, text_col: str = "text", lists: Gazetteers = Gazetteers()) -> np.ndarray:
     """Weights of the span classifier, from the vote patterns of all candidates of all documents.
 
     Tasks count patterns, of which there are a few thousand at most (kinds, votes
-    and length classes), so what is shuffled and collected is bounded.
+    and length classes), so what is shuffled and collected is bounded. Null and
+    empty texts have no candidates; without any, all weights are nought.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -230,17 +285,7 @@ def learn(docs: DataFrame, text_col: str = "text", lists: Gazetteers = Gazetteer
     for kind, votes, _, n in rows:
         patterns[kind, votes] += n
     chance = reliabilities([(k, v, n) for (k, v), n in patterns.items()])
-    weights = np.zeros(len(design(KINDS[0], (0,) * 5, 0)))
-    if rows:
-        x = np.array([design(k, v, length) for k, v, length, _ in rows])
-        y = np.array([chance[k, v] for k, v, _, _ in rows])
-        n = np.array([r[3] for r in rows], float)
-        n /= n.sum()
-        for _ in range(30):  # Newton steps with a ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            slope = x.T @ (n * (p - y)) + 1e-3 * weights
-            weights -= np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 1e-3 * np.eye(len(weights)), slope)
-    return weights
+    return fit(rows, chance)
 
 
 def spans(text: str, weights: np.ndarray, lists: Gazetteers = Gazetteers()) -> tuple[list[Span], list[Span]]:
