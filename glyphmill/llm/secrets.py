@@ -46,7 +46,7 @@ DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 JOINTS = re.compile(r"[/_=+-]+")
-IDENTIFIER_PART = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,6}")
+IDENTIFIER_PART = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -77,7 +77,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def identifier(run: str) -> bool:
-    """Whether a run is words and short numbers joined by signs."""
+    """Whether a run is words, with up to three digits behind them (``v2``, ``utf8``), and short numbers joined by signs."""
     return all(IDENTIFIER_PART.fullmatch(part) for part in JOINTS.split(run) if part)
 
 
