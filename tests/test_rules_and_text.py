@@ -2,12 +2,15 @@
 
 import random
 
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import rules
 from glyphmill.functions import text as tx
 from glyphmill.operators import batches, findings
+from glyphmill.plans import queries
 
 
 def rule_of(c):
@@ -135,6 +138,20 @@ def test_labels(spark):
     assert row.h.endswith("U+200B")
 
 
+def test_sizes_that_lie_halfway_go_to_the_even_digit_as_in_sql(spark, tmp_path):
+    sizes = "select explode(array(0L, 1023L, 1280L, 1281L, 1408L, 1792L, 1048575L, 1179648L, 1179649L, 1441792L, 5242880L)) as n"
+    own = spark.sql(sizes).select("n", tx.human_bytes(F.col("n"), ties_to_even=True).alias("label"))
+    told = "case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KiB', n / 1024.0) else printf('%.2f MiB', n / 1048576.0) end"
+    wanted = duckdb.sql(f"select n, {told} from (values {', '.join(f'({r.n})' for r in own.collect())}) t(n)").fetchall()
+    assert {tuple(r) for r in own.collect()} == set(wanted)
+    assert dict(wanted)[1280] == "1.2 KiB" and spark.range(1).select(tx.human_bytes(F.lit(1280))).first()[0] == "1.3 KiB"
+    assert spark.range(1).select(tx.human_bytes(F.lit(None).cast("long"))).first()[0] is None
+    # The query itself, on pages of such sizes, a short one and one without html.
+    pages = [(700 * i, "u", "x" * n) for i, n in enumerate((1280, 1792, 2304, 40, 0), 1)] + [(700 * 9 + 49, "u", "x" * 9), (8, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert oracle.compare(queries.queries()["q_labels_and_names"](spark, str(tmp_path)), queries.oracle_sql()["q_labels_and_names"], str(tmp_path)) == len(pages)
+
+
 def test_batches(spark):
     rows = [(i, "a" if i % 3 else "b", 10 if i % 7 else 0) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, source string, n long")
