@@ -42,7 +42,7 @@ def texts(spark, rows, marks, mark):
     return spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"repeat('ab{mark} ', {marks})").alias("text"))
 
 
-@pytest.mark.parametrize("mode, mark", [("strict", "\u00a0"), ("maximum", "\u201c")])
+@pytest.mark.parametrize("mode, mark", [("strict", "\u00a0"), ("maximum", "\u201c"), ("safe", "\u200b")])
 def test_a_ledger_holds_the_changes_of_a_few_texts(spark, mode, mark):
     n, mb = grown_mb(lambda: findings.ledger(texts(spark, 4000, 300, mark), mode).agg(F.count("*"), F.max("source_index")).first())
     assert tuple(n) == (4000 * 300, 4 * 299 + 2)
