@@ -47,3 +47,9 @@ def test_a_ledger_holds_the_changes_of_a_few_texts(spark, mode, mark):
     n, mb = grown_mb(lambda: findings.ledger(texts(spark, 4000, 300, mark), mode).agg(F.count("*"), F.max("source_index")).first())
     assert tuple(n) == (4000 * 300, 4 * 299 + 2)
     assert mb < 200, mb
+
+
+def test_groups_hold_a_few_texts(spark):
+    n, mb = grown_mb(lambda: findings.groups(texts(spark, 9000, 2500, "\U000e0001")).agg(F.sum("count"), F.count("*")).first())
+    assert tuple(n) == (9000 * 2500, 9000)
+    assert mb < 200, mb
