@@ -49,6 +49,12 @@ def test_a_ledger_holds_the_changes_of_a_few_texts(spark, mode, mark):
     assert mb < 200, mb
 
 
+def test_a_ledger_cut_short_holds_a_few_texts(spark):
+    n, mb = grown_mb(lambda: findings.ledger(texts(spark, 9000, 2500, "\u200b"), "maximum", most=5).agg(F.count("*")).first()[0])
+    assert n == 9000 * 5
+    assert mb < 200, mb
+
+
 def test_groups_hold_a_few_texts(spark):
     n, mb = grown_mb(lambda: findings.groups(texts(spark, 9000, 2500, "\U000e0001")).agg(F.sum("count"), F.count("*")).first())
     assert tuple(n) == (9000 * 2500, 9000)
