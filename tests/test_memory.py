@@ -2,11 +2,13 @@
 
 import threading
 
+import oracle
 import psutil
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import findings
+from glyphmill.operators import binaries, findings
+from glyphmill.plans import binary, synthetic
 
 
 def python_mb():
@@ -59,3 +61,30 @@ def test_groups_hold_a_few_texts(spark):
     n, mb = grown_mb(lambda: findings.groups(texts(spark, 9000, 2500, "\U000e0001")).agg(F.sum("count"), F.count("*")).first())
     assert tuple(n) == (9000 * 2500, 9000)
     assert mb < 200, mb
+
+
+@pytest.mark.parametrize("form", ["pptx", "xlsx", "docx"])
+def test_office_files_are_made_and_taken_apart_a_few_at_a_time(spark, form):
+    def taken_apart(rows):
+        own = binaries.parts(synthetic.files(texts(spark, rows, 5000, ""), form), "doc_id", "content")
+        return own.agg(F.count_if(F.expr("seq = -1")), F.count_if(F.expr("error is not null"))).first()
+
+    taken_apart(10)  # starts the workers, whose own memory does not count
+    n, mb = grown_mb(lambda: taken_apart(6000))
+    assert tuple(n) == (6000, sum(i // 9 % 4 == 3 for i in range(6000)))
+    assert mb < 100, mb
+
+
+@pytest.mark.parametrize("name", ["q_file_batch_status", "q_odt_sanitize", "q_pdf_sanitize", "q_svg_sanitize"])
+def test_the_files_of_a_query_are_made_once(spark, monkeypatch, name):
+    class Taken(Exception):
+        pass
+
+    def take(files, *_):
+        raise Taken(files)
+
+    monkeypatch.setattr(binaries, "sanitize_binary", take)
+    with pytest.raises(Taken) as taken:
+        binary.QUERIES[name](spark, oracle.SMALL)
+    files = taken.value.args[0]  # read twice by the operator
+    assert "MapInArrow" not in files._jdf.queryExecution().toString() and files.count() == 200
