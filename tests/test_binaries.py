@@ -256,3 +256,30 @@ def test_no_content_is_shuffled_while_plans_are_few(spark, capsys):
     key = lambda r: r.path
     assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
     assert few.count() == len(rows)
+
+
+def test_a_stream_of_known_length_is_not_looked_through(monkeypatch):
+    class Counted:
+        scans = 0
+        search = staticmethod(pdf.HEAD.search)
+
+        def finditer(self, data, own=pdf.HEAD):
+            Counted.scans += 1
+            return own.finditer(data)
+
+    monkeypatch.setattr(pdf, "HEAD", Counted())
+    data = synthetic.build("pdf", 2, "7 0 obj 1 0 obj " * 1000)
+    assert len(pdf.read(data)[0]) == 6 and Counted.scans == 0
+    named = data.replace(b"/Length 16000", b"/Length 9 0 R").replace(b"xref", b"9 0 obj\n16000\nendobj\nxref", 1)
+    assert [t.stream for t in pdf.read(named)[0] if t.number == 3] == [b"7 0 obj 1 0 obj " * 1000] and Counted.scans == 1
+
+
+@pytest.mark.parametrize("form", ["docx", "xlsx", "odt"])
+def test_an_entry_that_keeps_its_attributes_is_not_taken_apart_twice(monkeypatch, form):
+    data = synthetic.build(form, 1, TEXT)
+    scrubbed = {p.place: "scrub" for p in packages.parts(data) if p.private}
+    wanted = packages.rebuilt(data, scrubbed)
+    read = []
+    monkeypatch.setattr(packages.markup, "tokens", lambda body, declarations=False, own=packages.markup.tokens: read.append(body) or own(body, declarations))
+    assert packages.rebuilt(data, scrubbed) == wanted and len(read) == len(scrubbed)
+    assert "​".encode() not in b"".join(packages.content(box, e) for box in [packages.checked(wanted)] for e in box.infolist())
