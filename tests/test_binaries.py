@@ -4,6 +4,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.functions import containers, packages, pdf
 from glyphmill.operators import binaries
@@ -283,3 +284,25 @@ def test_an_entry_that_keeps_its_attributes_is_not_taken_apart_twice(monkeypatch
     monkeypatch.setattr(packages.markup, "tokens", lambda body, declarations=False, own=packages.markup.tokens: read.append(body) or own(body, declarations))
     assert packages.rebuilt(data, scrubbed) == wanted and len(read) == len(scrubbed)
     assert "​".encode() not in b"".join(packages.content(box, e) for box in [packages.checked(wanted)] for e in box.infolist())
+
+
+def test_files_are_counted_without_their_outputs(spark):
+    rows = [(f"{f}-{v}", bytearray(synthetic.build(f, v, TEXT))) for f in ("svg", "pdf") for v in range(4)]
+    out = binaries.batch_status(binaries.sanitize_binary(spark.createDataFrame(rows, "path string, content binary"), most_plans=0))
+    counted = out.groupBy("before.format", "status").agg(F.count("*").alias("n"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "output#" in x and "Relation [" not in x]
+    assert {tuple(r) for r in counted.collect()} == {("svg", "verified", 3), ("pdf", "verified", 3), (None, "error", 2)}
+
+
+def test_findings_of_documents_are_told_in_few_passes(spark):
+    rows = [(f"pdf-{v}", bytearray(synthetic.build("pdf", v, TEXT))) for v in range(4)]
+    own = binaries.parts(spark.createDataFrame(rows, "path string, content binary"), "path", "content")
+    hits = binaries.document_hits(own)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 5
+    told = {(r.id, r.kind): r.n for r in hits.where("kind is not null").groupBy("id", "kind").agg(F.sum("n").alias("n")).collect()}
+    assert told == {
+        ("pdf-1", "pdf-metadata"): 2, ("pdf-1", "c2pa"): 1, ("pdf-2", "pdf-metadata"): 1, ("pdf-2", "pdf-annotation-privacy"): 4, ("pdf-2", "pdf-active-content"): 3,
+    }
+    acts = {tuple(r) for r in hits.where("what is not null").select("id", "at", "what").collect()}
+    assert acts == {("pdf-1", n, "null") for n in (4, 5, 6, 7)} | {("pdf-1", 1, "strip-catalog"), ("pdf-2", 4, "null"), ("pdf-2", 6, "null"), ("pdf-2", 1, "strip-actions"), ("pdf-2", 5, "strip-notes")}
