@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import binaries, findings
-from glyphmill.plans import binary, synthetic
+from glyphmill.plans import binary, synthetic, text
 
 
 def python_mb():
@@ -88,3 +88,9 @@ def test_the_files_of_a_query_are_made_once(spark, monkeypatch, name):
         binary.QUERIES[name](spark, oracle.SMALL)
     files = taken.value.args[0]  # read twice by the operator
     assert "MapInArrow" not in files._jdf.queryExecution().toString() and files.count() == 200
+
+
+def test_changes_are_counted_once_and_not_before_rows_are_dealt_out(spark):
+    plan = text.QUERIES["q_ledger_truncated"](spark, oracle.SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    counted = "regexp_extract_all"  # which regexp_count is made of
+    assert counted in plan and not [x for x in plan.splitlines() if "Filter" in x and counted in x]
