@@ -1,5 +1,6 @@
 """The nine formats: ported cases, mutations, and errors as rows."""
 
+import hashlib
 import random
 import zipfile
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import containers, packages, pdf
 from glyphmill.operators import binaries
-from glyphmill.plans import synthetic
+from glyphmill.plans import binary, synthetic
 
 TEXT = "Some wörds & more <than> that."
 
@@ -306,3 +307,29 @@ def test_findings_of_documents_are_told_in_few_passes(spark):
     }
     acts = {tuple(r) for r in hits.where("what is not null").select("id", "at", "what").collect()}
     assert acts == {("pdf-1", n, "null") for n in (4, 5, 6, 7)} | {("pdf-1", 1, "strip-catalog"), ("pdf-2", 4, "null"), ("pdf-2", 6, "null"), ("pdf-2", 1, "strip-actions"), ("pdf-2", 5, "strip-notes")}
+
+
+@pytest.mark.parametrize("form", ["svg", "jpeg", "webp"])
+def test_digests_of_outputs_are_told_without_the_outputs(spark, form):
+    rows = [(f"{form}-{v}", bytearray(synthetic.build(form, v, TEXT))) for v in range(4)]
+    out = binaries.sanitize_binary(spark.createDataFrame(rows, "path string, content binary"), most_plans=0)
+    assert all(r.output_sha256 == (r.output and hashlib.sha256(r.output).hexdigest()) for r in out.collect()) and out.where("output_sha256 is not null").count() == 3
+    plan = binary.QUERIES[f"q_{form}_sanitize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "output#" in x and "Relation [" not in x]
+
+
+def test_a_digest_is_told_where_the_output_cannot_be_read_and_not_where_there_is_none(spark):
+    rows = [(f, bytearray(synthetic.build(f, 1, TEXT))) for f in ("svg", "png", "pdf")]
+    spoilt = binaries.sanitize_binary(spark.createDataFrame(rows, "path string, content binary"), rebuild=lambda fmt, data, plan: data[:-2])
+    got = {r.path: r for r in spoilt.collect()}
+    for form in ("svg", "png"):
+        assert got[form].after is None and not got[form].verification_passed and got[form].output_sha256 == hashlib.sha256(got[form].output).hexdigest()
+    assert got["pdf"].error_code == "verification-failed" and got["pdf"].output_sha256 is None
+
+
+def test_findings_are_dealt_out_by_file_once(spark, capsys):
+    rows = [(f"{f}-{v}", bytearray(synthetic.build(f, v, TEXT))) for f in synthetic.FORMATS for v in range(4)]
+    binaries.inspected(spark.createDataFrame(rows, "path string, content binary"), "path", "content").explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(id#" in plan and not [x for x in plan.splitlines() if "hashpartitioning(id#" in x and "kind#" in x]
+    assert "LocalTableScan" in plan and "Scan ExistingRDD" not in plan
