@@ -57,6 +57,13 @@ def test_a_ledger_cut_short_holds_a_few_texts(spark):
     assert mb < 200, mb
 
 
+def test_a_whole_ledger_holds_some_changes_of_a_text(spark):
+    findings.ledger(texts(spark, 1, 1, "\u200b"), "safe", most=None).count()  # starts the workers, whose own memory does not count
+    n, mb = grown_mb(lambda: findings.ledger(texts(spark, 1, 2_000_000, "\u200b"), "safe", most=None).agg(F.count("*"), F.max("source_index"), F.max("output_index")).first())
+    assert tuple(n) == (2_000_000, 4 * 1_999_999 + 2, 3 * 1_999_999 + 2)
+    assert mb < 200, mb
+
+
 def test_groups_hold_a_few_texts(spark):
     n, mb = grown_mb(lambda: findings.groups(texts(spark, 9000, 2500, "\U000e0001")).agg(F.sum("count"), F.count("*")).first())
     assert tuple(n) == (9000 * 2500, 9000)

@@ -113,6 +113,16 @@ def test_ledger_is_cut_and_says_so(spark):
     assert row.change_count == 5000 and row.changes_truncated
 
 
+def test_the_safe_ledger_tells_every_change_of_a_text(spark, tmp_path):
+    own = [(1, "a\u200b" * 9000), (2, "\u200b" * 4096), (4, "\u200b" * 4097 + "\xa0"), (5, "plain"), (7, None)]  # 9,000 is more than ``MOST_ROWS``, too
+    spark.createDataFrame([(*r, "en", "web") for r in own], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    told = queries.queries()["q_change_ledger_safe"](spark, str(tmp_path))
+    assert {r.doc_id: r["count"] for r in told.groupBy("doc_id").count().collect()} == {1: 9000, 2: 4096, 4: 4097}
+    last = told.where("doc_id = 1").orderBy(told.source_index.desc()).first()
+    assert tuple(last) == (1, 17999, 9000, "\u200b", "", "removed")
+    assert oracle.compare(told, queries.oracle_sql()["q_change_ledger_safe"], str(tmp_path)) == 9000 + 4096 + 4097
+
+
 def test_reports_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 50), (4, "a​")], "doc_id long, text string")
     rows = {r.doc_id: r for r in findings.analyze_text(df, limit=40).collect()}
